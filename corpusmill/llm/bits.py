@@ -1,0 +1,55 @@
+"""A Bloom filter of bounded size, built by the executors and probed with NumPy.
+
+It only ever drops rows that cannot find a partner.  Beyond its size bound it fills up and lets
+more rows through; results stay the same.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .textcodes import mix64
+
+#: 2**26 bits, 8 MB: what the driver and each executor hold at most.
+MAX_LOG_BITS = 26
+BITS_A_KEY = 16
+
+
+def _places(keys: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix64(keys.view(np.uint64) if keys.dtype == np.int64 else keys, 91)
+    mask = np.uint64((1 << log_bits) - 1)
+    return h & mask, (h >> np.uint64(32)) & mask
+
+
+def build(keys: DataFrame, n_keys: int) -> np.ndarray:
+    """The filter's words (uint64) over the BIGINT column of ``keys``; nulls are left out."""
+    log_bits = min(MAX_LOG_BITS, max(12, int(BITS_A_KEY * max(n_keys, 1) - 1).bit_length()))
+
+    def parts(batches):
+        words = np.zeros(1 << (log_bits - 6), dtype=np.uint64)
+        for b in batches:
+            k = b.column(0).drop_null().to_numpy(zero_copy_only=False)
+            for p in _places(k, log_bits):
+                np.bitwise_or.at(words, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
+        at = np.flatnonzero(words)
+        for s in range(0, len(at), 65536):
+            i = at[s:s + 65536]
+            yield pa.record_batch({"at": pa.array(i, pa.int64()), "bits": pa.array(words[i].view(np.int64), pa.int64())})
+
+    t = keys.mapInArrow(parts, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << (log_bits - 6), dtype=np.uint64)
+    words[t.column("at").to_numpy()] = t.column("bits").to_numpy().view(np.uint64)
+    return words
+
+
+def holds(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in the filter."""
+    log_bits = int(len(words)).bit_length() - 1 + 6
+    a, b = _places(keys, log_bits)
+    one = np.uint64(1)
+    hit = (words[(a >> np.uint64(6)).astype(np.int64)] >> (a & np.uint64(63))) & one
+    hit &= (words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & one
+    return hit.astype(bool)
