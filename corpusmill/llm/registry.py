@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks
+from . import leaks, neardup, overlap
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.overlapping_pairs(_read(spark, folder, "dataset"), _read(spark, folder, "dataset_test"))
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.overlap_report(_read(spark, folder, "dataset"), _read(spark, folder, "dataset_test"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicate_groups(_read(spark, folder, "dataset"))
+
+
+def p2_group_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.group_report(_read(spark, folder, "dataset"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_pairs(_read(spark, folder, "documents"), _read(spark, folder, "dataset_test"))
 
@@ -28,6 +44,10 @@ def p5_clean_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
+    "p2_found": p2_found,
+    "p2_group_sizes": p2_group_sizes,
     "p5_found": p5_found,
     "p5_longest_matches": p5_longest_matches,
     "p5_clean_sources": p5_clean_sources,
