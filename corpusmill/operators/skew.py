@@ -20,5 +20,5 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, rows: str, spread: st
     small = one.withColumn("_ways", ways).drop(rows)
     hot = small.where("_ways > 1").select(key, "_ways")
     left = many.join(F.broadcast(hot) if hot.isEmpty() else hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_ways", F.lit(1)).cast("bigint"))).drop("_ways")
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)).cast("bigint")).drop("_ways")
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_ways").cast("bigint") - 1))).drop("_ways")
     return left.join(right, [key, "_salt"]).drop("_salt")
