@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, neardup, overlap
+from . import copies, leaks, mixing, neardup, overlap, pieces, splits
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -30,6 +30,26 @@ def p2_group_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.group_report(_read(spark, folder, "dataset"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return copies.copy_sets(_read(spark, folder, "dataset"))
+
+
+def p3_one_of_each(spark: SparkSession, folder: str) -> DataFrame:
+    return copies.one_of_each(_read(spark, folder, "dataset"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.linked_units(_read(spark, folder, "dataset"))
+
+
+def p4_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.split_assignment(_read(spark, folder, "dataset"), _read(spark, folder, "split_targets"))
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.split_report(_read(spark, folder, "dataset"), _read(spark, folder, "split_targets"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_pairs(_read(spark, folder, "documents"), _read(spark, folder, "dataset_test"))
 
@@ -43,14 +63,46 @@ def p5_clean_sources(spark: SparkSession, folder: str) -> DataFrame:
     return kept.groupBy("source").agg(F.count("*").alias("documents"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.unreachable_sources(_read(spark, folder, "documents"), _read(spark, folder, "source_targets"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.fit_mix(_read(spark, folder, "documents"), _read(spark, folder, "source_targets")).report()
+
+
+def p6_drawn(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.drawn_shares(_read(spark, folder, "documents"), _read(spark, folder, "source_targets"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    limit, overlap = pieces.size_limit(_read(spark, folder, "size_limits"))
+    return pieces.not_naturally_divisible(_read(spark, folder, "documents"), limit, overlap)
+
+
+def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    limit, overlap = pieces.size_limit(_read(spark, folder, "size_limits"))
+    return pieces.pieces(_read(spark, folder, "documents"), limit, overlap).select("doc_id", "piece", "first_token", "tokens", "natural", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
     "p2_found": p2_found,
     "p2_group_sizes": p2_group_sizes,
+    "p3_found": p3_found,
+    "p3_one_of_each": p3_one_of_each,
+    "p4_found": p4_found,
+    "p4_assignment": p4_assignment,
+    "p4_report": p4_report,
     "p5_found": p5_found,
     "p5_longest_matches": p5_longest_matches,
     "p5_clean_sources": p5_clean_sources,
+    "p6_found": p6_found,
+    "p6_report": p6_report,
+    "p6_drawn": p6_drawn,
+    "p7_found": p7_found,
+    "p7_pieces": p7_pieces,
 }
 
 ORACLES: dict[str, str] = {}

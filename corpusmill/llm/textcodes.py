@@ -153,3 +153,19 @@ def word_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pair.sort()
     pair = pair[np.diff(pair, prepend=-1) != 0]
     return vocabulary, pair // len(vocabulary), pair % len(vocabulary)
+
+
+def plain_letters(texts: list[str]) -> list[str]:
+    """The bare form of each text: its plain form without anything but letters and digits."""
+    points, offsets = code_points(texts)
+    fold, kind, _ = _tables()
+    if len(points) and points.max() >= 65536:
+        values, where = np.unique(points, return_inverse=True)
+        plain = [fold_char(chr(int(v))) if not 0xD800 <= v < 0xE000 else chr(0xFFFD) for v in values]
+        keep = np.array([p != "" and unicodedata.category(p)[0] in "LN" for p in plain], dtype=bool)[where]
+        folded = np.array([ord(p) if p else 0 for p in plain], dtype=np.uint32)[where]
+    else:
+        keep, folded = kind[points] == _WORD, fold[points]
+    ends = np.concatenate(([0], np.cumsum(keep)))[offsets].tolist()
+    text = folded[keep].tobytes().decode("utf-32-le", "surrogatepass")
+    return [text[a:z] for a, z in zip(ends, ends[1:])]
