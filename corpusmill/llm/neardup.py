@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..operators.scratch import Scratch
-from .likeness import likeness, near_bits, word_arrays
+from . import bits
+from .likeness import likeness, near_bits
 from .sketch import WordTable, joint_estimate, pack_bits, register_values, set_codes
 from .textcodes import blocks, word_sets
 
@@ -192,16 +193,35 @@ def _estimated(min_likeness: float):
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, table: DataFrame, scratch: Scratch, min_likeness: float) -> DataFrame:
+def _sketched_words(wanted: np.ndarray):
+    """(id, text) -> (id, n, registers, words) of the rows that ``wanted``, a Bloom filter, lets through."""
+    def run(batches):
+        table = WordTable(WIDTH, np.uint8, lambda c: register_values(c, WIDTH))
+        for b in batches:
+            b = b.filter(pa.array(bits.holds(wanted, b.column(0).to_numpy(zero_copy_only=False))))
+            for first, part in blocks(b.column(1).to_pylist()):
+                vocabulary, doc, word = word_sets(part)
+                ends = np.searchsorted(doc, np.arange(len(part) + 1)).astype(np.int32)
+                place = table.look_up(vocabulary)[word]
+                sketch = [table.rows[place[s:e]].max(axis=0).tobytes() if e > s else bytes(WIDTH) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(vocabulary[word].view(np.int64)))
+                yield pa.record_batch([b.column(0).slice(first, len(part)), pa.array(np.diff(ends)), pa.array(sketch, pa.binary()), lists], names=["id", "n", "registers", "words"])
+    return run
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch, min_likeness: float) -> DataFrame:
     """The candidate pairs (a, b) that pass the estimate and then hold on the texts' words."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    words = scratch.keep(word_arrays(texts.join(wanted, "id", "left_semi")), "words")
-    sketch = table.where("registers is not null").select(F.col("row_id").alias("id"), "n", "registers").join(wanted, "id", "left_semi")
+    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    sent = texts.sparkSession.sparkContext.broadcast(bits.build(ids, ids.count()))
+    table = scratch.keep(texts.mapInArrow(lambda it: _sketched_words(sent.value)(it), "id bigint, n int, registers binary, words array<bigint>"), "words")
+    sketch, words = table.select("id", "n", "registers"), table.select("id", "words")
     both = (pairs.join(sketch.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra")), "a")
             .join(sketch.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb")), "b").select("a", "b", "ra", "rb", "na", "nb"))
     likely = scratch.keep(both.mapInArrow(_estimated(min_likeness), both.schema).select("a", "b"), "likely")
     full = likely.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    return scratch.keep(full.where(likeness("wa", "wb") >= min_likeness).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    links = scratch.keep(full.where(likeness("wa", "wb") >= min_likeness).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    scratch.drop(table)
+    return links
 
 
 def _digests(table: DataFrame, row: str, x: str) -> DataFrame:
@@ -225,7 +245,7 @@ def near_duplicate_groups(records: DataFrame, min_likeness: float = MIN_LIKENESS
     met = scratch.keep(sorted_.mapInArrow(bucket_pairs(bucket), "a bigint, b bigint, key bigint"), "met")
     pairs = met.where("b is not null").select("a", "b").repartition("a").distinct()
     near = pairs.join(_digests(table, "a", "x"), "a").join(_digests(table, "b", "y"), "b").where(near_bits(RADIUS)).select("a", "b")
-    links = _linked(scratch.keep(near, "near"), texts, table, scratch, min_likeness)
+    links = _linked(scratch.keep(near, "near"), texts, scratch, min_likeness)
 
     first = table.groupBy("code").agg(F.min("row_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = table.select("row_id", "code").join(first, "code").select(F.col("row_id").alias("u"), F.col("first").alias("v"))
@@ -244,7 +264,7 @@ def near_duplicate_groups(records: DataFrame, min_likeness: float = MIN_LIKENESS
         rest = full.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
         other = rest.select("key", "block", F.col("row").alias("other"), F.col("component").alias("group"), F.col("x1").alias("y1"), F.col("x2").alias("y2"))
         more = block.join(other, ["key", "block"]).where("component <> `group`").where(near_bits(RADIUS)).select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
-        links = _linked(scratch.keep(more, "more"), texts, table, scratch, min_likeness)
+        links = _linked(scratch.keep(more, "more"), texts, scratch, min_likeness)
         groups = connected_components(groups.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(links), scratch)
 
     size = groups.groupBy("component").count().where("count > 1").select("component")
