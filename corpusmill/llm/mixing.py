@@ -70,11 +70,17 @@ def _train(classes: int):
     return run
 
 
-def fit_classifier(documents: DataFrame, sources: list[str], sample_rows: int = SAMPLE_ROWS) -> np.ndarray | None:
-    """Weights ((features + 1) x sources) from at most ``sample_rows`` labelled rows, the first by a hash of the id."""
+def fit_classifier(documents: DataFrame, sources: list[str], n_rows: int, sample_rows: int = SAMPLE_ROWS) -> np.ndarray | None:
+    """Weights ((features + 1) x sources) from at most ``sample_rows`` labelled rows, the first by a hash of the id.
+
+    ``n_rows``, the number of labelled rows, sets a bound on the hash under which twice the sample is
+    expected, so that tasks pass on their part of the sample only.
+    """
     known = documents.where(F.col("source").isin(sources) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    if n_rows > 2 * sample_rows:
+        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) < int((1 << 40) * 2 * sample_rows / n_rows))
     number = documents.sparkSession.createDataFrame([(n, k) for k, n in enumerate(sources)], "source string, k int")
-    first = known.select("doc_id", "source", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    first = known.select("doc_id", "source", "text").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(sample_rows)
     sample = first.join(F.broadcast(number), "source").select("doc_id", "text", "k")
     got = sample.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_train(len(sources)), "w binary").first()
     return np.frombuffer(got[0], dtype=np.float32).reshape(FEATURES + 1, len(sources)) if got else None
@@ -167,15 +173,16 @@ def fit_mix(documents: DataFrame, targets: DataFrame, sample_rows: int = SAMPLE_
         raise ValueError(f"from 1 to {MAX_SOURCES} target sources are needed")
     names, shares, repeats = [g[0] for g in goal], np.array([float(g[1]) for g in goal]), np.array([float(g[2]) for g in goal])
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "mixing")
-    counted = token_counts(documents, "source").groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    counted = token_counts(documents, "source").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     listed = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "source string, k int")
-    by_source = {r[0]: r[1] for r in counted.join(F.broadcast(listed), "source").select("k", "tokens").collect()}
-    tokens = np.array([float(by_source.get(k, 0)) for k in range(len(names))])
+    by_source = {r[0]: (r[1], r[2]) for r in counted.join(F.broadcast(listed), "source").select("k", "tokens", "rows").collect()}
+    tokens = np.array([float(by_source.get(k, (0, 0))[0]) for k in range(len(names))])
+    n_rows = sum(r for _, r in by_source.values())
     total = tokens.sum()
 
     unknown = documents.where("source is null and doc_id is not null")
     soft = spark.createDataFrame([], "doc_id bigint, tokens bigint, posterior array<double>")
-    weights = None if unknown.isEmpty() else fit_classifier(documents, names, sample_rows)
+    weights = None if unknown.isEmpty() else fit_classifier(documents, names, n_rows, sample_rows)
     if weights is not None:
         texts = unknown.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         soft = scratch.keep(texts.mapInArrow(_posteriors(weights), "doc_id bigint, tokens bigint, posterior array<double>"), "soft")
