@@ -1,4 +1,6 @@
 """All core queries by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import evaluation, features, tables, text  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
