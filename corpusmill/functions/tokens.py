@@ -39,7 +39,10 @@ def default_word_tokens(c: Column) -> Column:
 
 
 def word_ngrams(tokens: Column, low: int, high: int) -> Column:
-    """n-grams of ``low`` to ``high`` tokens joined by spaces, by n, then position."""
+    """n-grams of ``low`` to ``high`` tokens joined by spaces, by n, then position.
+
+    ``tokens`` should be a column of the input (not an expression, which would be evaluated for every n-gram).
+    """
     def grams(n):
         if n == 1:
             return tokens

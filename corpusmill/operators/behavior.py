@@ -41,29 +41,30 @@ def word_measures(docs: DataFrame, doc: str, array: Column, stop_words: list[str
 
 def bigrams(docs: DataFrame, doc: str, array: Column) -> DataFrame:
     """``(doc, pos, w1, w2)`` of neighbouring tokens, made inside the row."""
-    pairs = F.arrays_zip(F.slice(array, 1, F.greatest(F.size(array) - 1, F.lit(0))).alias("w1"), F.slice(array, 2, F.greatest(F.size(array) - 1, F.lit(0))).alias("w2"))
-    return docs.select(F.col(doc).alias("doc"), F.posexplode(pairs).alias("pos", "p")).select("doc", "pos", F.col("p.w1").alias("w1"), F.col("p.w2").alias("w2"))
+    held = docs.select(F.col(doc).alias("doc"), array.alias("a")).where("size(a) > 1")
+    n = F.size("a") - 1
+    pairs = F.arrays_zip(F.slice("a", 1, n).alias("w1"), F.slice("a", 2, n).alias("w2"))
+    return held.select("doc", F.posexplode(pairs).alias("pos", "p")).select("doc", "pos", F.col("p.w1").alias("w1"), F.col("p.w2").alias("w2"))
 
 
 def bigram_measures(docs: DataFrame, doc: str, array: Column) -> DataFrame:
     """``(doc, bigram_ratio, perplexity)``: distinct over all pairs; add-one bigram perplexity inside the document."""
-    one = F.size(F.array_distinct(array))
     b = docs.select(F.col(doc).alias("doc"), array.alias("a")).where(F.size("a") > 1)
     pairs = bigrams(b, "doc", F.col("a")).groupBy("doc", "w1", "w2").agg(F.count("*").alias("n"))
     first = pairs.groupBy("doc", "w1").agg(F.sum("n").alias("as_first"))
     last = b.select("doc", F.element_at("a", -1).alias("w1"), F.lit(1).alias("more"))
-    size = docs.select(F.col(doc).alias("doc"), one.alias("v"))
+    size = b.select("doc", F.size(F.array_distinct("a")).alias("v"))
     full = pairs.join(first, ["doc", "w1"]).join(last, ["doc", "w1"], "left").join(size, "doc")
     p = (F.col("n") + 1) / (F.col("as_first") + F.coalesce("more", F.lit(0)) + F.col("v"))
     return full.groupBy("doc").agg((F.count("*") / F.sum("n")).alias("bigram_ratio"), F.pow(F.lit(2.0), -F.sum(F.col("n") * F.log2(p)) / F.sum("n")).alias("perplexity"))
 
 
-def trigram_density(text: Column) -> Column:
-    """Distinct over all character trigrams, spaces as ``_``; 0 for texts under three characters."""
-    t = F.replace(text, F.lit(" "), F.lit("_"))
-    last = F.length(t) - 2
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
-    return F.when(last >= 1, F.size(F.array_distinct(grams)) / last).otherwise(0.0)
+def trigram_density(docs: DataFrame, text: str, name: str = "trigram_density") -> DataFrame:
+    """Adds the share of distinct among all character trigrams, spaces as ``_``; 0 for texts under three characters."""
+    held = docs.withColumn("_c", F.split(F.replace(F.col(text), F.lit(" "), F.lit("_")), ""))
+    n = F.size("_c") - 2
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.concat(F.get("_c", i), F.get("_c", i + 1), F.get("_c", i + 2)))
+    return held.withColumn(name, F.when(n >= 1, F.size(F.array_distinct(grams)) / n).otherwise(0.0)).drop("_c")
 
 
 def exclamation_share(text: Column) -> Column:

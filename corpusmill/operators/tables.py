@@ -49,12 +49,10 @@ def combinations(sources: DataFrame, group: str, name: str, order: list[str]) ->
 
 
 def grid(spark, **choices) -> DataFrame:
-    """Hyper-parameter product, one row a configuration."""
-    out = None
-    for name, values in choices.items():
-        part = spark.createDataFrame([(v,) for v in values], [name])
-        out = part if out is None else out.crossJoin(part)
-    return out
+    """Hyper-parameter product, one row a configuration (the choices are literals)."""
+    import itertools
+
+    return spark.createDataFrame(list(itertools.product(*choices.values())), list(choices))
 
 
 def min_max(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -175,7 +175,8 @@ class FeatureModel:
 def _blocks(docs: DataFrame, text: str):
     from ..functions.text import clean_text
 
-    return docs.withColumn("_clean", clean_text(F.coalesce(F.col(text), F.lit(""))))
+    clean = docs.withColumn("_clean", clean_text(F.coalesce(F.col(text), F.lit(""))))
+    return clean.withColumn("_tokens", T.word_tokens(F.col("_clean")))
 
 
 def fit_features(train: DataFrame, doc: str, text: str, word_features: int = 3000, char_features: int = 2000) -> FeatureModel:
@@ -183,7 +184,7 @@ def fit_features(train: DataFrame, doc: str, text: str, word_features: int = 300
     from ..functions.style import COLUMNS, style_features
 
     clean = _blocks(train, text)
-    words = fit_words(clean, doc, T.word_ngrams(T.word_tokens(F.col("_clean")), 1, 2), word_features, 2, 0.95)
+    words = fit_words(clean, doc, T.word_ngrams(F.col("_tokens"), 1, 2), word_features, 2, 0.95)
     chars = fit_chars(clean, doc, "_clean", 2, 4, char_features, 2, 0.98)
     return FeatureModel(words, chars, fit_scaler(style_features(train, text), COLUMNS))
 
@@ -193,7 +194,7 @@ def features_of(docs: DataFrame, doc: str, text: str, model: FeatureModel) -> Da
     from ..functions.style import COLUMNS, style_features
 
     clean = _blocks(docs, text)
-    words = tf_idf(token_counts(clean, doc, T.word_ngrams(T.word_tokens(F.col("_clean")), 1, 2)), model.words)
+    words = tf_idf(token_counts(clean, doc, T.word_ngrams(F.col("_tokens"), 1, 2)), model.words)
     chars = tf_idf(char_counts(clean, doc, "_clean", 2, 4, model.chars), model.chars)
     style = scale(style_features(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))).select("doc", *[F.col(c).cast("double").alias(c) for c in COLUMNS]), COLUMNS, model.scaler)
     long = style.select("doc", F.posexplode(F.array(*COLUMNS)).alias("idx", "value"))

@@ -12,11 +12,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Tables of texts, whose per-row work is worth a shuffle of small inputs.
+_TEXTS = {"documents", "dataset"}
+
+
+def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table; texts that come as fewer scan partitions than there are cores are spread over the cores."""
+    df = spark.read.parquet(f"{folder}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table in _TEXTS and df.rdd.getNumPartitions() < cores else df
+
+
 def query(sql: str | None = None):
     """Registers a function ``(read) -> DataFrame`` under its name; ``read(table)`` loads a table."""
     def add(f):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return f(lambda table: spark.read.parquet(f"{folder}/{table}.parquet"))
+            return f(lambda table: load(spark, folder, table))
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
         if sql:

@@ -338,7 +338,7 @@ def corpus_assembly(read):
 
 _HTML_KEPT = f"""WITH q AS (SELECT doc_id, {S.strip('text')} AS t FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id, {S.passage("CASE WHEN length(t) > 30 THEN t ELSE '' END", S.PASSAGE)} AS c FROM q),
 k AS (SELECT doc_id, list_filter(string_split({S.sub(S.strip('c'), f'([.!?]){S.WS}+', chr(92) + '1' + chr(1))}, chr(1)), lambda s: s <> '') AS a FROM d),
-s AS (SELECT doc_id, i, a[i] AS s, len({S.words('a[i]')}) AS n FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM k)), r AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM s)
+s AS (SELECT doc_id, i, s, len({S.words('s')}) AS n FROM (SELECT doc_id, unnest(a) AS s, unnest(range(1, len(a) + 1)) AS i FROM k)), r AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM s)
 SELECT doc_id, string_agg(s, ' ' ORDER BY i) AS passage FROM r WHERE total <= 120 GROUP BY 1 HAVING max(total) >= 80"""
 
 

@@ -24,7 +24,7 @@ _N = "(SELECT count(*) FROM documents WHERE text IS NOT NULL)"
 
 
 def _occurrences(tokens: str, table: str = "documents", doc: str = "doc_id") -> str:
-    return f"SELECT doc, a[i] AS term, i AS pos FROM (SELECT {doc} AS doc, {tokens} AS a, unnest(range(1, len({tokens}) + 1)) AS i FROM {table} WHERE text IS NOT NULL)"
+    return f"SELECT doc, unnest(a) AS term, unnest(range(1, len(a) + 1)) AS pos FROM (SELECT {doc} AS doc, {tokens} AS a FROM {table} WHERE text IS NOT NULL)"
 
 
 def _vocab(occ: str, most: int, min_df: int, max_df: float) -> str:
@@ -72,12 +72,13 @@ def _value(df):
     return df.select("doc", "idx", F.round("value", 6).alias("value"))
 
 
-_GRAM_OCC = f"SELECT doc, a[i] AS term, i AS pos FROM (SELECT doc, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT doc, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS a FROM (SELECT doc_id AS doc, {S.word_tokens('text')} AS t FROM documents WHERE text IS NOT NULL)))"
+_GRAM_OCC = f"""SELECT doc, unnest(a) AS term, unnest(range(1, len(a) + 1)) AS pos FROM (SELECT doc, list_concat(t, list_transform(list_zip(t[:-2], t[2:]), lambda x: x[1] || ' ' || x[2])) AS a
+  FROM (SELECT doc_id AS doc, {S.word_tokens('text')} AS t FROM documents WHERE text IS NOT NULL))"""
 
 
 @query(_tfidf(_counts(_GRAM_OCC), _vocab(_GRAM_OCC, N_WORDS, 2, 0.95)))
 def tfidf_word(read):
-    d, grams = _corpus(read), T.word_ngrams(_words(), 1, 2)
+    d, grams = _corpus(read).select("doc_id", _words().alias("t")), T.word_ngrams(F.col("t"), 1, 2)
     return _value(V.tf_idf(V.token_counts(d, "doc_id", grams), V.fit_words(d, "doc_id", grams, N_WORDS)))
 
 
@@ -162,7 +163,7 @@ _SEQ_OCC = _occurrences(_SEQ)
 
 @query(f"""
 WITH v AS ({_vocab(_SEQ_OCC, 3000, 1, 1.0)}), t AS (SELECT id, coalesce({_SEQ}, []) AS a FROM {_TEST}),
-o AS (SELECT id, a[i] AS term, i FROM (SELECT id, a, unnest(range(1, least(len(a), 150) + 1)) AS i FROM t)), k AS (SELECT id, string_agg(CAST(coalesce(idx + 2, 1) AS VARCHAR), ',' ORDER BY i) AS s FROM o LEFT JOIN v USING (term) GROUP BY id)
+o AS (SELECT id, unnest(a[:150]) AS term, unnest(range(1, least(len(a), 150) + 1)) AS i FROM t), k AS (SELECT id, string_agg(CAST(coalesce(idx + 2, 1) AS VARCHAR), ',' ORDER BY i) AS s FROM o LEFT JOIN v USING (term) GROUP BY id)
 SELECT t.id AS doc, concat(coalesce(s, ''), CASE WHEN len(a) > 0 AND len(a) < 150 THEN ',' ELSE '' END, array_to_string(list_transform(range(greatest(150 - len(a), 0)), lambda x: '0'), ',')) AS ids FROM t LEFT JOIN k USING (id)""")
 def seq_ids(read):
     d, t = _corpus(read), T.sequence_tokens(F.col("text"))
@@ -174,7 +175,7 @@ def seq_ids(read):
 @query(f"""
 WITH v AS ({_vocab(_SEQ_OCC, 3000, 1, 1.0)}), n AS (SELECT count(*) AS n FROM embeddings), t AS ({_counts(_occurrences(_SEQ, _TEST, 'id'))}),
 k AS (SELECT doc, n.n, v.idx, t.n AS c FROM t JOIN v USING (term), n), x AS (SELECT vec_id, unnest(embedding) AS e, unnest(range(len(embedding))) AS dim FROM embeddings)
-SELECT doc, dim, round(sum(c * CAST(e AS DOUBLE)) / sum(c), 4) AS value FROM k JOIN x ON x.vec_id = k.idx % k.n GROUP BY 1, 2""")
+SELECT doc, dim, round(sum(c * CAST(e AS DOUBLE)) / sum(c), 4) + 0.0 AS value FROM k JOIN x ON x.vec_id = k.idx % k.n GROUP BY 1, 2""")
 def pooled_vectors(read):
     """Mean of the pretrained vectors of a text's known tokens; each token is looked up once per text."""
     d, t = _corpus(read), T.sequence_tokens(F.col("text"))
@@ -183,7 +184,7 @@ def pooled_vectors(read):
     n = e.count()
     counts = m.joined(V.token_counts(first_tests(read), "id", t)).select("doc", (F.col("idx") % n).alias("vec_id"), "n")
     long = counts.join(e.select("vec_id", "embedding"), "vec_id").select("doc", "n", F.posexplode("embedding").alias("dim", "e"))
-    return long.groupBy("doc", F.col("dim").cast("bigint").alias("dim")).agg(F.round(F.sum(F.col("n") * F.col("e").cast("double")) / F.sum("n"), 4).alias("value"))
+    return long.groupBy("doc", F.col("dim").cast("bigint").alias("dim")).agg((F.round(F.sum(F.col("n") * F.col("e").cast("double")) / F.sum("n"), 4) + 0.0).alias("value"))
 
 
 @query(f"""

@@ -78,9 +78,9 @@ def source_names(read):
     return s.select("source", F.element_at(F.split("source", "_"), -1).alias("base"), F.size(F.split("source", "_")).alias("parts"))
 
 
-@query("SELECT row_id, id, text, label FROM dataset d WHERE NOT EXISTS (SELECT 1 FROM submissions s WHERE s.id = d.id) AND row_id % 1 = 0")
+@query("SELECT id, split_name, loaded_at FROM dataset_test t WHERE NOT EXISTS (SELECT 1 FROM submissions s WHERE s.id = t.id)")
 def pending_ids(read):
-    return R.pending(read("dataset").select("row_id", "id", "text", "label"), read("submissions"), "id")
+    return R.pending(read("dataset_test").select("id", "split_name", "loaded_at"), read("submissions"), "id")
 
 
 @query("SELECT DISTINCT id FROM dataset_test t WHERE EXISTS (SELECT 1 FROM submissions s WHERE s.id = t.id)")

@@ -48,7 +48,7 @@ _KEPT = f"list_filter(string_split({S.sub(S.strip('text'), f'([.!?]){S.WS}+', ch
 
 @query(f"""
 WITH d AS (SELECT doc_id, {_KEPT} AS a FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, i, a[i] AS s, len({S.words('a[i]')}) AS n FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM d)),
+s AS (SELECT doc_id, i, s, len({S.words('s')}) AS n FROM (SELECT doc_id, unnest(a) AS s, unnest(range(1, len(a) + 1)) AS i FROM d)),
 r AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM s)
 SELECT d.doc_id, coalesce(string_agg(r.s, ' ' ORDER BY r.i), '') AS passage FROM d LEFT JOIN r ON r.doc_id = d.doc_id AND r.total <= 120 GROUP BY d.doc_id""")
 def truncate_sentences(read):
@@ -152,14 +152,14 @@ _IN = lambda words: f"w IN ({S.quoted(words)})"
 @query(f"""
 WITH t AS ({_TOKENS}), c AS (SELECT doc, w, count(*) AS n, first(total) AS total FROM t GROUP BY 1, 2),
 f AS (SELECT doc, sum(n) AS fw FROM c WHERE {_IN(FUNCTION_WORDS)} GROUP BY 1)
-SELECT c.doc, CAST(first(total) AS BIGINT) AS n_tokens, round(-sum(n / total * log2(n / total)), 6) AS entropy, round(count(*) / first(total), 6) AS type_token,
+SELECT c.doc, CAST(first(total) AS BIGINT) AS n_tokens, abs(round(-sum(n / total * log2(n / total)), 6)) AS entropy, round(count(*) / first(total), 6) AS type_token,
   round(sum(length(w) * n) / first(total), 6) AS word_length, {_share(_IN(BUZZWORDS))} AS buzz_share, {_share(_IN(STOP_WORDS))} AS stop_share,
   {_share('n = 1')} AS hapax_share, {_share(_IN(FUNCTION_WORDS))} AS function_share,
-  round(coalesce(-sum(CASE WHEN {_IN(FUNCTION_WORDS)} THEN n / fw * log2(n / fw) END), 0), 6) AS function_entropy
+  abs(round(coalesce(-sum(CASE WHEN {_IN(FUNCTION_WORDS)} THEN n / fw * log2(n / fw) END), 0), 6)) AS function_entropy
 FROM c LEFT JOIN f USING (doc) GROUP BY c.doc""")
 def word_measures(read):
     m = B.word_measures(read("documents"), "doc_id", _letters())
-    return m.select("doc", "n_tokens", *[F.round(c, 6).alias(c) for c in m.columns[2:]])
+    return m.select("doc", "n_tokens", *[F.abs(F.round(c, 6)).alias(c) for c in m.columns[2:]])
 
 
 _BIGRAMS = f"SELECT doc, pos, w AS w1, lead(w) OVER (PARTITION BY doc ORDER BY pos) AS w2 FROM ({_TOKENS})"
@@ -175,12 +175,15 @@ def bigram_measures(read):
 
 
 @query("""
-WITH d AS (SELECT doc_id, replace(text, ' ', '_') AS t, text FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, round(CASE WHEN length(t) >= 3 THEN len(list_distinct(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3)))) / (length(t) - 2) ELSE 0 END, 6) AS trigram_density,
-  round(CASE WHEN length(text) > 0 THEN (length(text) - length(replace(text, '!', '')) + length(text) - length(replace(text, '?', '')) + (length(text) - length(replace(text, '...', ''))) / 3) / length(text) ELSE 0 END, 6) AS exclamation_share FROM d""")
+WITH d AS (SELECT doc_id, string_split(replace(text, ' ', '_'), '') AS c, text FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(c) AS c0, unnest(range(len(c))) AS i FROM d),
+g AS (SELECT doc_id, c0, lead(c0, 1) OVER w AS c1, lead(c0, 2) OVER w AS c2 FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, count(DISTINCT c0 || c1 || c2) / count(*) AS density FROM g WHERE c2 IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, round(coalesce(density, 0), 6) AS trigram_density,
+  round(CASE WHEN length(text) > 0 THEN (length(text) - length(replace(text, '!', '')) + length(text) - length(replace(text, '?', '')) + (length(text) - length(replace(text, '...', ''))) / 3) / length(text) ELSE 0 END, 6) AS exclamation_share FROM d LEFT JOIN k USING (doc_id)""")
 def character_measures(read):
-    t = F.col("text")
-    return read("documents").where("text is not null").select("doc_id", F.round(B.trigram_density(t), 6).alias("trigram_density"), F.round(B.exclamation_share(t), 6).alias("exclamation_share"))
+    d = B.trigram_density(read("documents").where("text is not null").select("doc_id", "text"), "text")
+    return d.select("doc_id", F.round("trigram_density", 6).alias("trigram_density"), F.round(B.exclamation_share(F.col("text")), 6).alias("exclamation_share"))
 
 
 @query(f"""
@@ -194,11 +197,11 @@ def repetition_distance(read):
 WITH d AS (SELECT doc_id AS doc, unnest({_KEPT}) AS s FROM documents WHERE text IS NOT NULL), n AS (SELECT doc, len({S.words('s')}) AS n FROM d),
 c AS (SELECT doc, n, count(*) AS k FROM n GROUP BY 1, 2), t AS (SELECT doc, sum(k) AS total FROM c GROUP BY 1),
 m AS (SELECT doc, count(*) AS n_sent, stddev_pop(n) AS sd, var_pop(n) AS va, avg(n) AS me FROM n GROUP BY 1)
-SELECT m.doc, CAST(first(n_sent) AS BIGINT) AS n_sent, round(first(sd), 5) AS burstiness, round(first(va), 5) AS rhythm_variance, round(first(me), 5) AS words_per_sentence, round(-sum(k / total * log2(k / total)), 5) AS length_entropy
+SELECT m.doc, CAST(first(n_sent) AS BIGINT) AS n_sent, round(first(sd), 8) AS burstiness, round(first(va), 8) AS rhythm_variance, round(first(me), 8) AS words_per_sentence, abs(round(-sum(k / total * log2(k / total)), 8)) AS length_entropy
 FROM m JOIN c USING (doc) JOIN t USING (doc) GROUP BY m.doc""")
 def sentence_rhythm(read):
     m = B.rhythm(read("documents"), "doc_id", "text")
-    return m.select("doc", "n_sent", *[F.round(c, 5).alias(c) for c in m.columns[2:]])
+    return m.select("doc", "n_sent", *[F.abs(F.round(c, 8)).alias(c) for c in m.columns[2:]])
 
 
 @query(f"""
@@ -233,7 +236,7 @@ _TAG = f"""CASE WHEN regexp_matches(w, '(ous|ful|ive|able|ible|ic|al|less)$') TH
 
 @query(f"""
 WITH c AS (SELECT doc, {_TAG} AS tag, count(*) AS n, first(total) AS total FROM ({_TOKENS}) GROUP BY 1, 2)
-SELECT doc, round(sum(CASE WHEN tag = 'JJ' THEN n ELSE 0 END) / first(total), 6) AS adjective_share, round(-sum(n / total * log2(n / total)), 6) AS tag_entropy FROM c GROUP BY doc""")
+SELECT doc, round(sum(CASE WHEN tag = 'JJ' THEN n ELSE 0 END) / first(total), 6) AS adjective_share, abs(round(-sum(n / total * log2(n / total)), 6)) AS tag_entropy FROM c GROUP BY doc""")
 def tag_measures(read):
     m = B.tag_measures(read("documents"), "doc_id", _letters())
-    return m.select("doc", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
+    return m.select("doc", *[F.abs(F.round(c, 6)).alias(c) for c in m.columns[1:]])
