@@ -39,7 +39,10 @@ def bare_forms(texts: list[str]) -> list[str]:
 
 
 def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_id, a, b) -> (row_id, first, n, canon): canon and n only for a record's first row in the task."""
+    """(row_id, a, b) -> (row_id, first, low, n, canon): low, n and canon only for a record's first row in the task.
+
+    ``low`` is the smallest row id that the task has of the record, ``n`` its rows there.
+    """
     seen: dict[str, list[int]] = {}
     held = 0
 
@@ -49,7 +52,7 @@ def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in range(0, len(rows), 2000):
             part = rows[s:s + 2000]
             first = pa.array([r[0] for _, r in part], pa.int64())
-            yield pa.record_batch([first, first, pa.array([r[1] for _, r in part], pa.int64()), pa.array([k for k, _ in part], pa.string())], names=["row_id", "first", "n", "canon"])
+            yield pa.record_batch([first, first, pa.array([r[2] for _, r in part], pa.int64()), pa.array([r[1] for _, r in part], pa.int64()), pa.array([k for k, _ in part], pa.string())], names=["row_id", "first", "low", "n", "canon"])
 
     for b in batches:
         ids, x, y = b.column(0).to_pylist(), bare_forms(b.column(1).to_pylist()), bare_forms(b.column(2).to_pylist())
@@ -58,14 +61,15 @@ def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = f"{p} {q}" if p <= q else f"{q} {p}"
             got = seen.get(key)
             if got is None:
-                seen[key] = [i, 1]
+                seen[key] = [i, 1, i]
                 held += len(key) + 100
             else:
                 got[1] += 1
+                got[2] = min(got[2], i)
                 row.append(i)
                 first.append(got[0])
         if row:
-            yield pa.record_batch([pa.array(row, pa.int64()), pa.array(first, pa.int64()), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.string())], names=["row_id", "first", "n", "canon"])
+            yield pa.record_batch([pa.array(row, pa.int64()), pa.array(first, pa.int64()), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.string())], names=["row_id", "first", "low", "n", "canon"])
         if held > FOLD_CHARS:
             yield from flush()
             held = 0
@@ -80,32 +84,34 @@ class Trie:
     def __init__(self):
         self.root: list = ["", {}, None]  # label, children by first character, terminal
 
-    def add(self, key: str, row: int, n: int) -> None:
+    def add(self, key: str, row: int, n: int, low: int | None = None) -> None:
+        """Adds ``row``, which stands for ``n`` copies of which ``low`` is the smallest."""
+        low = row if low is None else low
         node, at = self.root, 0
         while True:
             if at == len(key):
                 if node[2] is None:
-                    node[2] = [0, row, []]
+                    node[2] = [0, low, []]
                 t = node[2]
                 t[0] += n
-                t[1] = min(t[1], row)
+                t[1] = min(t[1], low)
                 t[2].append(row)
                 return
             child = node[1].get(key[at])
             if child is None:
-                node[1][key[at]] = [key[at:], {}, [n, row, [row]]]
+                node[1][key[at]] = [key[at:], {}, [n, low, [row]]]
                 return
             label = child[0]
             if not key.startswith(label, at):
-                low, high = 0, min(len(label), len(key) - at)
-                while low < high:  # length of the common part
-                    mid = (low + high + 1) // 2
+                common, most = 0, min(len(label), len(key) - at)
+                while common < most:
+                    mid = (common + most + 1) // 2
                     if key.startswith(label[:mid], at):
-                        low = mid
+                        common = mid
                     else:
-                        high = mid - 1
-                lower = [label[low:], child[1], child[2]]
-                child[0], child[1], child[2] = label[:low], {label[low]: lower}, None
+                        most = mid - 1
+                lower = [label[common:], child[1], child[2]]
+                child[0], child[1], child[2] = label[:common], {label[common]: lower}, None
                 label = child[0]
             node, at = child, at + len(label)
 
@@ -119,24 +125,25 @@ class Trie:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, row, n, canon) sorted by bucket -> (row, first_row, copies)."""
+    """(bucket, row, low, n, canon) sorted by bucket -> (row, first_row, copies, lead); one row of each record leads."""
     trie, open_bucket = Trie(), None
 
     def close():
-        rows, first, copies = [], [], []
+        rows, first, copies, lead = [], [], [], []
         for n, low, members in trie.terminals():
             rows += members
             first += [low] * len(members)
             copies += [n] * len(members)
+            lead += [True] + [False] * (len(members) - 1)
         for s in range(0, len(rows), 10_000):
-            yield pa.record_batch([pa.array(x[s:s + 10_000], pa.int64()) for x in (rows, first, copies)], names=["row", "first_row", "copies"])
+            yield pa.record_batch([*[pa.array(x[s:s + 10_000], pa.int64()) for x in (rows, first, copies)], pa.array(lead[s:s + 10_000], pa.bool_())], names=["row", "first_row", "copies", "lead"])
 
     for b in batches:
-        for bucket, row, n, canon in zip(*(c.to_pylist() for c in b.columns)):
+        for bucket, row, low, n, canon in zip(*(c.to_pylist() for c in b.columns)):
             if bucket != open_bucket:
                 yield from close()
                 trie, open_bucket = Trie(), bucket
-            trie.add(canon, row, n)
+            trie.add(canon, row, n, low)
     yield from close()
 
 
@@ -160,7 +167,7 @@ def _bucketed(table: DataFrame, scratch: Scratch, bucket_rows: int) -> DataFrame
         spread = spread.withColumn("_p", F.substring("canon", 1, level)).join(over.select(F.col("prefix").alias("_p"), F.lit(True).alias(mark)), "_p", "left").drop("_p")
         deeper = LEVELS[min(k + 1, len(LEVELS) - 1)]
         bucket = F.when(F.col(mark), F.substring("canon", 1, deeper)).otherwise(bucket)
-    return spread.select(bucket.alias("bucket"), F.col("row_id").alias("row"), "n", "canon")
+    return spread.select(bucket.alias("bucket"), F.col("row_id").alias("row"), "low", "n", "canon")
 
 
 def _grouped(records: DataFrame, a: str, b: str, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -168,9 +175,9 @@ def _grouped(records: DataFrame, a: str, b: str, bucket_rows: int) -> tuple[Data
     scratch = Scratch(records.sparkSession, "copies")
     blank = F.regexp_replace(F.col(b), r"[\s\x1c-\x1f\x85\p{Z}]+", "") == ""
     rows = records.where(F.col("row_id").isNotNull() & F.col(b).isNotNull() & ~blank).select(F.col("row_id").cast("bigint").alias("row_id"), F.coalesce(F.col(a), F.lit("")).alias("a"), F.col(b).alias("b"))
-    table = scratch.keep(rows.mapInArrow(_canonical, "row_id bigint, first bigint, n bigint, canon string").withColumn("head", F.substring("canon", 1, HEAD)), "canonical")
+    table = scratch.keep(rows.mapInArrow(_canonical, "row_id bigint, first bigint, low bigint, n bigint, canon string").withColumn("head", F.substring("canon", 1, HEAD)), "canonical")
     buckets = _bucketed(table, scratch, bucket_rows).repartition("bucket").sortWithinPartitions("bucket")
-    firsts = scratch.keep(buckets.mapInArrow(_count, "row bigint, first_row bigint, copies bigint"), "counts")
+    firsts = scratch.keep(buckets.mapInArrow(_count, "row bigint, first_row bigint, copies bigint, lead boolean"), "counts")
     return table.select("row_id", "first"), firsts
 
 
@@ -189,4 +196,4 @@ def copy_sets(records: DataFrame, a: str = "termo", b: str = "text", bucket_rows
 def one_of_each(records: DataFrame, a: str = "termo", b: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``(row_id, copies)``: the first row of each record, and how many rows it stands for (itself included)."""
     _, firsts = _grouped(records, a, b, bucket_rows)
-    return firsts.where("row = first_row").select(F.col("row").alias("row_id"), "copies")
+    return firsts.where("lead").select(F.col("first_row").alias("row_id"), "copies")

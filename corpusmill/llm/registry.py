@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import ORACLES  # noqa: F401
 from . import copies, leaks, mixing, neardup, overlap, pieces, splits
 
 
@@ -104,5 +105,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
 }
-
-ORACLES: dict[str, str] = {}
