@@ -105,6 +105,7 @@ def classify(prompts: DataFrame, client: Client, model: str, done: DataFrame | N
 class _Paragraphs(HTMLParser):
     """Text of ``<p>`` elements outside dropped elements and classes."""
 
+    SCOPES = {"table", "td", "th", "caption", "button", "object", "template"}
     VOID = {"br", "img", "hr", "input", "meta", "link", "col", "area", "base", "embed", "source", "track", "wbr"}
 
     def __init__(self):
@@ -119,13 +120,22 @@ class _Paragraphs(HTMLParser):
             return
         classes = (dict(attrs).get("class") or "").split()
         drop = tag in DROPPED_ELEMENTS or any(c in DROPPED_CLASSES for c in classes)
-        if tag == "p" and any(t == "p" for t, _ in self.stack):
+        if tag == "p" and self._open_paragraph():
             self.handle_endtag("p")
         self.stack.append((tag, drop))
         self.dropped += drop
         if tag == "p" and not self.dropped:
             self.open.append([])
 
+    def _open_paragraph(self) -> bool:
+        """Whether a new ``<p>`` ends an open one: an unclosed one, unless a table cell or the like stands between."""
+        for t, _ in reversed(self.stack):
+            if t == "p":
+                return True
+            if t in self.SCOPES:
+                return False
+        return False
+
     def handle_endtag(self, tag):
         if not any(t == tag for t, _ in self.stack):
             return
