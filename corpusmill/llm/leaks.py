@@ -161,12 +161,13 @@ def _matches(documents: DataFrame, tests: DataFrame, scratch: Scratch, min_words
     spark = documents.sparkSession
     test_suffixes = scratch.keep(suffixes, "test-suffixes")
     grams = test_suffixes.select("g0")
-    words = bits.build(grams, grams.count())
+    n_test = grams.count()
+    words = bits.build(grams, n_test)
     sent = spark.sparkContext.broadcast(words)
     corpus = documents.select("doc_id", "text").where("text is not null").mapInArrow(lambda it: _corpus_suffixes(sent.value, min_words)(it), "doc_id bigint, pos bigint, g0 bigint, g8 bigint")
     corpus = scratch.keep(corpus, "corpus-suffixes")
     n = corpus.count()
-    shards = max(1, -(-n // SHARD_ROWS), spark.sparkContext.defaultParallelism if n > 10_000 else 1)
+    shards = max(1, -(-max(n, n_test) // SHARD_ROWS), spark.sparkContext.defaultParallelism if n > 10_000 else 1)
     hot = corpus.groupBy("g0").count().where(F.col("count") > SHARD_ROWS).select("g0", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("ways"))
     ways = F.coalesce(F.col("ways"), F.lit(1))
     c = corpus.join(hot, "g0", "left").withColumn("shard", F.pmod(F.xxhash64("g0", F.pmod(F.xxhash64("doc_id"), ways)), F.lit(shards))).drop("ways")
