@@ -35,18 +35,16 @@ def confusion(p: DataFrame, labels: list[str] = LABELS) -> DataFrame:
 
 def report(p: DataFrame, labels: list[str] = LABELS) -> DataFrame:
     """``(model, class, precision, recall, f1, support)`` by class, and the rows 'macro avg' and 'weighted avg'; 0 where undefined."""
-    c = confusion(p, labels)
-    tp = c.where("gold = pred").select("model", F.col("gold").alias("class"), F.col("n").alias("tp"))
-    by_gold = c.groupBy("model", F.col("gold").alias("class")).agg(F.sum("n").alias("support"))
-    by_pred = c.groupBy("model", F.col("pred").alias("class")).agg(F.sum("n").alias("said"))
-    j = tp.join(by_gold, ["model", "class"]).join(by_pred, ["model", "class"])
+    gold, said = Window.partitionBy("model", "gold"), Window.partitionBy("model", "pred")
+    c = confusion(p, labels).withColumn("support", F.sum("n").over(gold)).withColumn("said", F.sum("n").over(said)).where("gold = pred")
     div = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    j = j.withColumn("precision", div(F.col("tp"), F.col("said"))).withColumn("recall", div(F.col("tp"), F.col("support")))
-    j = j.withColumn("f1", div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).select("model", "class", "precision", "recall", "f1", "support")
-    m = ["precision", "recall", "f1"]
-    macro = j.groupBy("model").agg(*[F.avg(x).alias(x) for x in m], F.sum("support").alias("support")).withColumn("class", F.lit("macro avg"))
-    weighted = j.groupBy("model").agg(*[div(F.sum(F.col(x) * F.col("support")), F.sum("support")).alias(x) for x in m], F.sum("support").alias("support")).withColumn("class", F.lit("weighted avg"))
-    return j.unionByName(macro).unionByName(weighted)
+    j = c.select("model", F.col("gold").alias("class"), "support", div(F.col("n"), F.col("said")).alias("precision"), div(F.col("n"), F.col("support")).alias("recall"))
+    j = j.withColumn("f1", div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    # each class row also counts to the two averages: one pass gives all three kinds of rows
+    rows = j.withColumn("row", F.explode(F.array("class", F.lit("macro avg"), F.lit("weighted avg"))))
+    weight = F.when(F.col("row") == "weighted avg", F.col("support")).otherwise(1)
+    mean = lambda x: div(F.sum(F.col(x) * weight), F.sum(weight)).alias(x)
+    return rows.groupBy("model", F.col("row").alias("class")).agg(mean("precision"), mean("recall"), mean("f1"), F.sum("support").alias("support"))
 
 
 def weights(acc: DataFrame, power: int = 1) -> DataFrame:

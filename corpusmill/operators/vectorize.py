@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
+from .scratch import Scratch
 
 #: Rows of a vocabulary that is still sent to every executor.
 BROADCAST_TERMS = 200_000
@@ -30,7 +31,8 @@ def first_occurrences(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
     """``(term, tf, df, first_doc, first_pos)`` over the corpus, ordered by ``doc`` and position."""
     at = docs.select(F.col(doc).alias("doc"), F.posexplode(tokens).alias("pos", "term"))
     per_doc = at.groupBy("term", "doc").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    return per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"), F.min(F.struct("doc", "pos")).alias("f")).select("term", "tf", "df", F.col("f.doc").alias("first_doc"), F.col("f.pos").alias("first_pos"))
+    # min and min_by keep flat buffers, so the aggregates stay hash-based
+    return per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"), F.min("doc").alias("first_doc"), F.min_by("pos", "doc").alias("first_pos"))
 
 
 @dataclass
@@ -50,10 +52,14 @@ def smooth_idf(df: Column, n_docs: int) -> Column:
 
 
 def vocabulary(stats: DataFrame, n_docs: int, max_features: int, min_df: int, max_df: float, order: list[Column]) -> Vocabulary:
-    """The ``max_features`` first terms by ``order`` with ``min_df <= df <= int(max_df * n_docs)``; idx from 0."""
+    """The ``max_features`` first terms by ``order`` with ``min_df <= df <= int(max_df * n_docs)``; idx from 0.
+
+    The result is written, so that the corpus is fitted once however often the model is applied.
+    """
     top = stats.where((F.col("df") >= min_df) & (F.col("df") <= int(max_df * n_docs))).orderBy(*order).limit(max_features)
     ranked = top.withColumn("idx", F.row_number().over(Window.orderBy(*order)) - 1)  # over max_features rows
-    return Vocabulary(ranked.withColumn("idf", smooth_idf(F.col("df"), n_docs)), max_features, n_docs)
+    fitted = Scratch(stats.sparkSession, "vocabulary").keep(ranked.withColumn("idf", smooth_idf(F.col("df"), n_docs)), "vocabulary")
+    return Vocabulary(fitted, max_features, n_docs)
 
 
 def fit_words(docs: DataFrame, doc: str, tokens: Column, max_features: int = 5000, min_df: int = 2, max_df: float = 0.95) -> Vocabulary:
@@ -82,11 +88,17 @@ def fit_chars(docs: DataFrame, doc: str, text: str, low: int = 2, high: int = 4,
 
 
 def char_counts(docs: DataFrame, doc: str, text: str, low: int, high: int, vocabulary: Vocabulary) -> DataFrame:
-    """``(doc, term, n)`` of the vocabulary's n-grams: counted by word first, then expanded."""
+    """``(doc, term, n)`` of the vocabulary's n-grams.
+
+    Each distinct word of the corpus is expanded once, to the vocabulary's n-grams in it; a document's words are
+    looked up there.
+    """
     per_word = docs.select(F.col(doc).alias("doc"), F.explode(T.char_words(F.col(text))).alias("w")).groupBy("doc", "w").agg(F.count("*").alias("n"))
-    grams = per_word.select("doc", "n", F.explode(T.char_ngrams_of_word(F.col("w"), low, high)).alias("term"))
-    kept = grams.join(_sent(vocabulary.table.select("term"), vocabulary.size), "term", "left_semi")
-    return kept.groupBy("doc", "term").agg(F.sum("n").alias("n"))
+    grams = per_word.select("w").distinct().select("w", F.explode(T.char_ngrams_of_word(F.col("w"), low, high)).alias("term"))
+    kept = grams.join(_sent(vocabulary.table.select("term"), vocabulary.size), "term", "left_semi").groupBy("w", "term").agg(F.count("*").alias("k"))
+    of_word = kept.groupBy("w").agg(F.collect_list(F.struct("term", "k")).alias("g"))  # as long as a word
+    found = per_word.join(of_word, "w").select("doc", "n", F.explode("g").alias("g"))
+    return found.groupBy("doc", F.col("g.term").alias("term")).agg(F.sum(F.col("n") * F.col("g.k")).alias("n"))
 
 
 def bag_of_words(counts: DataFrame, model: Vocabulary) -> DataFrame:

@@ -332,8 +332,10 @@ _FIRST = f"SELECT *, {S.canonical_label('label')} AS class FROM dataset WHERE te
 SELECT source, class, count(*) AS n, round(avg(len({S.words('passage')})), 6) AS words FROM c WHERE len({S.words('passage')}) BETWEEN 80 AND 120 GROUP BY 1, 2""")
 def corpus_assembly(read):
     """All corpora together: required columns, cleaned passages of wanted length, by source and class."""
-    d = read("dataset").select("termo", "source", X.canonical_label(F.col("label")).alias("class"), X.clean_passage(F.col("text")).alias("passage")).na.drop()
-    return d.withColumn("w", X.word_count(F.col("passage"))).where(F.col("w").between(80, 120)).groupBy("source", "class").agg(F.count("*").alias("n"), F.round(F.avg("w"), 6).alias("words"))
+    d = read("dataset").select("termo", "text", "source", X.canonical_label(F.col("label")).alias("class")).na.drop()
+    # exploded, so that the cleaned passage is made once and not again in every predicate
+    w = d.select("source", "class", F.explode(F.array(X.word_count(X.clean_passage(F.col("text"))))).alias("w"))
+    return w.where(F.col("w").between(80, 120)).groupBy("source", "class").agg(F.count("*").alias("n"), F.round(F.avg("w"), 6).alias("words"))
 
 
 _HTML_KEPT = f"""WITH q AS (SELECT doc_id, {S.strip('text')} AS t FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id, {S.passage("CASE WHEN length(t) > 30 THEN t ELSE '' END", S.PASSAGE)} AS c FROM q),
