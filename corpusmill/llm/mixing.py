@@ -25,7 +25,8 @@ from .tokens import Tokens
 
 #: Labelled rows the classifier is fitted on at most, hashed word features, training steps.
 SAMPLE_ROWS, FEATURES, TRAIN_STEPS = 4_000, 2_048, 80
-FIT_STEPS, STEP = 24, 0.8
+#: Steps of the fit at most, step length, and the change of rates below which it ends.
+FIT_STEPS, STEP, TOLERANCE = 24, 0.8, 1e-5
 #: Sources a target table may list; the fit's state is of this size.
 MAX_SOURCES = 10_000
 
@@ -202,7 +203,7 @@ def fit_mix(documents: DataFrame, targets: DataFrame, sample_rows: int = SAMPLE_
                 soft_totals[k] = x
         new = (tokens * rates + soft_totals - wanted) / np.maximum(mass, 1e-9)
         moved = np.clip(rates - STEP * new, 0, repeats)
-        if step == steps or (step and np.abs(moved - rates).max() < 1e-7):
+        if step == steps or (step and np.abs(moved - rates).max() < TOLERANCE):
             break
         residuals, rates = np.vstack((residuals, new)), moved
     return Mix(names, shares, repeats, tokens, total, residuals, rates, soft, soft_totals, documents)
