@@ -162,24 +162,106 @@ def learning_curve(history: DataFrame) -> DataFrame:
     return h.groupBy("config", "epoch").agg(F.avg("val_loss").alias("val_loss"), F.stddev_pop("val_loss").alias("val_loss_std"), F.avg("val_acc").alias("val_acc"))
 
 
-def leave_one_out(rows: DataFrame, config: Config, width: int, classes: int, groups: int = 8) -> DataFrame:
-    """``(id, y, pred)`` of stacking by leave-one-out on ``rows(id, features, y)``, a small validation table.
+def _left_out(rows: DataFrame, predict, groups: int) -> DataFrame:
+    """``(id, y, pred)`` by leave-one-out over all of ``rows(id, features, y)``.
 
-    Every task holds the table and fits the models of its share of the held-out rows.
+    Rows with the same features and class leave the same training table behind, so one model is fitted
+    for each distinct row (``predict(table)(i)``, the table with the copies ``n``) and its prediction goes to every copy.
+    Every task holds the distinct rows and fits the models of its share of them.
     """
     shares = rows.sparkSession.createDataFrame([(g,) for g in range(groups)], "share int")
+    distinct = rows.groupBy("features", "y").agg(F.count("*").alias("n"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
+        pdf = pdf.assign(key=[tuple(f) for f in pdf["features"]]).sort_values(["key", "y"]).reset_index(drop=True)
+        mine = range(int(pdf["share"].iloc[0]), len(pdf), groups)
+        choose = predict(pdf)
+        out = [(pdf["key"][i], int(pdf["y"][i]), choose(i)) for i in mine]
+        return pd.DataFrame(out, columns=["features", "y", "pred"])
+
+    spread = distinct.crossJoin(F.broadcast(shares)).repartition(groups, "share")  # a given number: small tables stay spread
+    fitted = spread.groupBy("share").applyInPandas(fit, "features array<double>, y int, pred int")
+    return rows.select("id", "features", "y").join(fitted, ["features", "y"]).select("id", "y", "pred")
+
+
+def leave_one_out(rows: DataFrame, config: Config, width: int, classes: int, groups: int = 64) -> DataFrame:
+    """``(id, y, pred)`` of stacking with a network by leave-one-out on ``rows(id, features, y)``; one fit a distinct row."""
+    def predict(pdf):
+        x, y = dense(pdf, width)
+        n = pdf["n"].to_numpy()
+
+        def choose(i):
+            left = np.repeat(np.arange(len(n)), n - (np.arange(len(n)) == i))
+            return int(Network(width, classes, config).fit(x[left], y[left]).probabilities(x[i:i + 1]).argmax())
+        return choose
+
+    return _left_out(rows, predict, groups)
+
+
+def _newton(x: np.ndarray, y: np.ndarray, n: np.ndarray, classes: int, c: float, start: np.ndarray | None = None, tolerance: float = 1e-8, steps: int = 1000) -> np.ndarray:
+    """Weights ((features + intercept) x classes) of multinomial logistic regression on rows of ``n`` copies.
+
+    Minimises ``c`` times the summed cross entropy plus half the squared weights (not the intercepts), by damped
+    Newton steps until no gradient is above ``tolerance``; an error if that is not reached.  Classes without rows get
+    the intercept -inf.
+    """
+    x = np.hstack((x, np.ones((len(x), 1))))
+    there = np.flatnonzero(np.bincount(y, weights=n, minlength=classes))
+    k, d = len(there), x.shape[1]
+    out = np.zeros((d, classes))
+    out[-1] = -np.inf
+    target = (y[:, None] == there).astype(float)
+    ridge = np.repeat(np.arange(d) < d - 1, k).reshape(d, k).astype(float)
+    w = np.zeros((d, k)) if start is None else start[:, there].copy()
+
+    def value(w):
+        z = x @ w
+        z -= z.max(axis=1, keepdims=True)
+        log_p = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return -c * (n[:, None] * target * log_p).sum() + 0.5 * (ridge * w * w).sum(), np.exp(log_p)
+
+    f, p = value(w)
+    for _ in range(steps):
+        g = c * (x.T @ (n[:, None] * (p - target))) + ridge * w
+        if np.abs(g).max() < tolerance * max(1.0, c * n.sum()):
+            out[:, there] = w
+            return out
+        h = np.zeros((d, k, d, k))
+        for a in range(k):
+            for b in range(a, k):
+                h[:, a, :, b] = h[:, b, :, a] = c * (x.T * (n * p[:, a] * ((a == b) - p[:, b]))) @ x
+        # the intercepts may move together: a trace on the diagonal fixes that direction, in which the gradient is 0
+        h = h.reshape(d * k, d * k) + np.diag(ridge.ravel() + 1e-8)
+        move, t = np.linalg.solve(h, g.ravel()).reshape(d, k), 1.0
+        down = (move * g).sum()
+        while True:
+            f_new, p_new = value(w - t * move)
+            if f_new <= f - 1e-4 * t * down + 1e-12 * abs(f) or t < 1e-10:
+                break
+            t /= 2
+        w, f, p = w - t * move, f_new, p_new
+    raise ValueError(f"no convergence in {steps} Newton steps")
+
+
+def leave_one_out_regression(rows: DataFrame, width: int, classes: int, c: float = 1.0, groups: int = 64) -> DataFrame:
+    """``(id, y, pred)`` of stacking with multinomial logistic regression (inverse penalty ``c``) by leave-one-out.
+
+    Every fit starts at the weights of all rows and is solved to convergence, so that the start does not matter.
+    """
+    def predict(pdf):
         x, y = dense(pdf, width)
-        out = []
-        for i in range(int(pdf["share"].iloc[0]), len(pdf), groups):
-            rest = np.arange(len(pdf)) != i
-            net = Network(width, classes, config).fit(x[rest], y[rest])
-            out.append((pdf["id"][i], int(y[i]), int(net.probabilities(x[i:i + 1]).argmax())))
-        return pd.DataFrame(out, columns=["id", "y", "pred"])
-
-    return rows.crossJoin(F.broadcast(shares)).groupBy("share").applyInPandas(fit, "id string, y int, pred int")
+        n = pdf["n"].to_numpy().astype(float)
+        whole = _newton(x, y, n, classes, c)
+
+        def choose(i):
+            left = n - (np.arange(len(n)) == i)
+            if not left.any():
+                return 0
+            w = _newton(x, y, left, classes, c, whole)
+            return int((x[i] @ w[:-1] + w[-1]).argmax())
+        return choose
+
+    return _left_out(rows, predict, groups)
 
 
 def softmax_regression(rows: DataFrame, features: str = "features", label: str = "y", l2: float = 0.0, iterations: int = 100):

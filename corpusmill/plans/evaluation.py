@@ -290,19 +290,34 @@ def corpus_ranking(read):
     return x.sparkSession.createDataFrame(rows, "source string, hits bigint, n bigint").withColumn("accuracy", F.round(F.try_divide("hits", "n"), 4))
 
 
-@query()
-def stacked_vote(read):
-    """A small network over the meta-features, judged by leave-one-out on 120 validation items."""
+def _stacking(read):
+    """``(rows(id, features, y), width)``: the meta-features and class of every item with a revealed label."""
     from ..functions.fixed import LABELS
-    from ..operators import train
     from ..operators.vectorize import label_index
 
     p = predictions(read)
     m = E.meta_features(p).join(p.select("id", "gold").distinct(), "id")
-    rows = m.select("id", F.concat(F.transform("one_hot", lambda x: x.cast("double")), F.array("agreement", "vote_entropy")).alias("features"), label_index(F.col("gold"), LABELS).cast("int").alias("y"))
-    small = rows.orderBy(F.md5("id"), "id").limit(120)  # the size of the validation table
-    width = 5 * p.select("model").distinct().count() + 2
-    return train.leave_one_out(small, train.Config((16,), 0.01, epochs=12), width, 5)
+    # rounded, so that equal votes are equal features in whatever order their shares were added
+    features = F.concat(F.transform("one_hot", lambda x: x.cast("double")), F.array(F.round("agreement", 9), F.round(F.abs("vote_entropy"), 9)))
+    return m.select("id", features.alias("features"), label_index(F.col("gold"), LABELS).cast("int").alias("y")), 5 * p.select("model").distinct().count() + 2
+
+
+@query()
+def stacked_vote(read):
+    """A small network over the meta-features, judged by leave-one-out over all items with a revealed label."""
+    from ..operators import train
+
+    rows, width = _stacking(read)
+    return train.leave_one_out(rows, train.Config((16,), 0.01, epochs=12), width, 5)
+
+
+@query()
+def stacked_regression(read):
+    """Logistic regression (C = 1) over the meta-features, judged by leave-one-out over all items with a revealed label."""
+    from ..operators import train
+
+    rows, width = _stacking(read)
+    return train.leave_one_out_regression(rows, width, 5)
 
 
 @query(f"WITH {P} SELECT model, n, accuracy FROM (SELECT model, n, round(accuracy, 6) AS accuracy FROM acc)")
