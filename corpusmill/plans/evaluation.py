@@ -261,33 +261,31 @@ def softmax_regression(read):
     return m.transform(rows).groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("y")).alias("hits"))
 
 
+def _ranked(read):
+    from ..functions import tokens as T
+    from ..functions.fixed import LABELS
+    from ..operators import corpora
+    from .tables import source_combinations
+
+    found = source_combinations(read).limit(corpora.MOST_COMBINATIONS + 1).collect()  # one more is an error there
+    combos = [(r["combo"], [r[m] for m in ("human", "opn", "ggl", "ant", "mta")]) for r in found]
+    label = X.canonical_label(F.col("label")).alias("class")
+    rows = read("dataset").where("text is not null and source is not null").select("source", label, "text")
+    tests = first_tests(read).where("text is not null").select(label, "text")
+    return corpora.rank_combinations(rows, tests, combos, T.default_word_tokens(F.col("text")), LABELS)
+
+
 @query()
 def corpus_ranking(read):
-    """Sources of generated text ranked by how well a baseline classifier trained on them does on the evaluation texts.
+    """Combinations of one source a maker, ranked by a baseline classifier's five-class accuracy on the evaluation texts."""
+    return _ranked(read).withColumn("accuracy", F.round("accuracy", 4))
 
-    For each source, with the human sources as the other class, hashed word counts and logistic regression.
-    """
-    from ..functions import tokens as T
-    from pyspark.ml.feature import HashingTF
 
-    from ..operators import train
-    from pyspark.ml import Pipeline  # noqa: F401
-
-    d = read("dataset").where("text is not null and source is not null").select("source", X.canonical_label(F.col("label")).alias("class"), T.word_tokens(F.col("text")).alias("w"))
-    t = first_tests(read).where("text is not null").select(X.canonical_label(F.col("label")).alias("class"), T.word_tokens(F.col("text")).alias("w")).where("class is not null")
-    hashing = HashingTF(inputCol="w", outputCol="features", numFeatures=1 << 12)
-    x = hashing.transform(d.where("class is not null")).withColumn("y", (F.col("class") != "Human").cast("double"))
-    xt = hashing.transform(t).withColumn("y", (F.col("class") != "Human").cast("double")).cache()
-    x = x.select("source", "features", "y").cache()
-    sources = [r[0] for r in x.select("source").distinct().orderBy("source").limit(200).collect() if not r[0].startswith("human")]
-    rows = []
-    for s in sources:  # one distributed fit a source, over a handful of named sources
-        m = train.softmax_regression(x.where((F.col("source") == s) | F.col("source").startswith("human")), iterations=10, l2=1e-2)
-        r = m.transform(xt).agg(F.count("*"), F.count_if(F.col("prediction") == F.col("y"))).first()
-        rows.append((s, r[1], r[0]))
-    x.unpersist()
-    xt.unpersist()
-    return x.sparkSession.createDataFrame(rows, "source string, hits bigint, n bigint").withColumn("accuracy", F.round(F.try_divide("hits", "n"), 4))
+@query()
+def sources_in_best(read):
+    """In how many of the ten most accurate source combinations each source stands."""
+    best = _ranked(read).where("place <= 10")
+    return best.select(F.explode(F.split("combo", r"\s*\+\s*")).alias("source")).groupBy("source").agg(F.count("*").alias("n"))
 
 
 def _stacking(read):

@@ -38,3 +38,33 @@ def test_leave_one_out_regression(spark):
     p /= p.sum(axis=1, keepdims=True)
     assert x.T @ (p - np.eye(3)[y]) + w[:-1] == pytest.approx(0, abs=1e-4)  # the penalised optimum
     assert (p - np.eye(3)[y]).sum(axis=0) == pytest.approx(0, abs=1e-4)
+
+
+def test_every_combination_is_ranked(spark):
+    from collections import Counter
+
+    from corpusmill.operators import corpora, train
+
+    r = np.random.default_rng(5)
+    own = {"A": ["ab", "cd"], "B": ["ef", "gh"], "C": ["ij", "kl"]}
+    sources = {"h1": "A", "h2": "A", "o1": "B", "o2": "B", "g1": "C"}
+    say = lambda k: " ".join(r.choice([*own[k], "so", "on", "up", *own["ABC"[r.integers(3)]]], 5))
+    rows = [(s, k, say(k)) for s, k in sources.items() for _ in range(12)] + [("other", "A", "ab")]
+    tests = [(k, say(k)) for k in "ABC" for _ in range(15)]
+    combos = [(f"{h} + {o} + g1", [h, o, "g1"]) for h in ("h1", "h2") for o in ("o1", "o2")]
+    from pyspark.sql import functions as F
+
+    got = corpora.rank_combinations(spark.createDataFrame(rows, "source string, class string, text string"), spark.createDataFrame(tests, "class string, text string"), combos, F.split("text", " "), ["A", "B", "C", "D"], max_features=7, tolerance=1e-5)
+    got = {x.combo: x for x in got.collect()}
+    assert set(got) == {c for c, _ in combos} and all(x.converged and x.n == 45 for x in got.values())
+    for combo, parts in combos:  # one by one, solved by Newton steps
+        mine = [x for x in rows if x[0] in parts]
+        tf = Counter(w for _, _, t in mine for w in t.split(" "))
+        df = Counter(w for _, _, t in mine for w in set(t.split(" ")))
+        terms = sorted(tf, key=lambda w: (-tf[w], w))[:7]
+        def tfidf(texts):
+            x = np.array([[t.split(" ").count(w) * (np.log((1 + len(mine)) / (1 + df[w])) + 1) for w in terms] for t in texts])
+            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        w = train._newton(tfidf([t for _, _, t in mine]), np.array(["ABC".index(k) for _, k, _ in mine]), np.ones(len(mine)), 3, 1.0)
+        said = (tfidf([t for _, t in tests]) @ w[:-1] + w[-1]).argmax(axis=1)
+        assert got[combo].hits == sum("ABC"[p] == k for p, (k, _) in zip(said, tests))
