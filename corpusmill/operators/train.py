@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+OPTIMIZERS = ("adam", "adamw", "sgd")
+
+
 @dataclass
 class Config:
-    """One training configuration."""
+    """One training configuration; ``l2`` is part of the gradient, but with AdamW weights decay by ``lr * l2`` apart from it."""
 
     hidden: tuple[int, ...] = (128, 64)
     lr: float = 0.001
@@ -34,6 +37,8 @@ class Network:
     """Dense layers with ReLU, inverted dropout and a softmax output, trained on mini-batches."""
 
     def __init__(self, n_in: int, n_out: int, c: Config):
+        if c.optimizer not in OPTIMIZERS:
+            raise ValueError(f"optimizer {c.optimizer!r} is none of {', '.join(OPTIMIZERS)}")
         self.c, self.rng = c, np.random.default_rng(c.seed)
         sizes = [n_in, *c.hidden, n_out]
         self.params = [p for a, b in zip(sizes, sizes[1:]) for p in (self.rng.normal(0, np.sqrt(2 / max(a, 1)), (a, b)), np.zeros(b))]
@@ -70,7 +75,7 @@ class Network:
         d /= len(y)
         out = [None] * len(self.params)
         for i in reversed(range(len(self.params) // 2)):
-            out[2 * i] = kept[2 * i].T @ d + self.c.l2 * self.params[2 * i]
+            out[2 * i] = kept[2 * i].T @ d + (0.0 if self.c.optimizer == "adamw" else self.c.l2) * self.params[2 * i]
             out[2 * i + 1] = d.sum(axis=0)
             if i:
                 d = (d @ self.params[2 * i].T) * kept[2 * i - 1]
@@ -79,7 +84,9 @@ class Network:
     def _step(self, gradients):
         self.steps += 1
         for i, g in enumerate(gradients):
-            if self.c.optimizer == "adam":
+            if self.c.optimizer in ("adam", "adamw"):
+                if self.c.optimizer == "adamw" and i % 2 == 0:
+                    self.params[i] = self.params[i] * (1 - self.c.lr * self.c.l2)
                 self.m[i] = 0.9 * self.m[i] + 0.1 * g
                 self.v[i] = 0.999 * self.v[i] + 0.001 * g * g
                 self.params[i] = self.params[i] - self.c.lr * (self.m[i] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[i] / (1 - 0.999**self.steps)) + 1e-8)
@@ -143,7 +150,8 @@ def cross_validate(rows: DataFrame, configs: list[Config], width: int, classes:
                 h[col] = np.nan
         return h[["config", "run", "epoch", "loss", "acc", "val_loss", "val_acc"]].astype({"epoch": "int32", "run": "int32"})
 
-    return rows.crossJoin(F.broadcast(ids)).groupBy("config", "run").applyInPandas(fit, HISTORY)
+    spread = rows.crossJoin(F.broadcast(ids)).repartition(2 * len(configs), "config", "run")  # a given number: small tables stay spread
+    return spread.groupBy("config", "run").applyInPandas(fit, HISTORY)
 
 
 def ranking(history: DataFrame) -> DataFrame:

@@ -68,3 +68,17 @@ def test_every_combination_is_ranked(spark):
         w = train._newton(tfidf([t for _, _, t in mine]), np.array(["ABC".index(k) for _, k, _ in mine]), np.ones(len(mine)), 3, 1.0)
         said = (tfidf([t for _, t in tests]) @ w[:-1] + w[-1]).argmax(axis=1)
         assert got[combo].hits == sum("ABC"[p] == k for p, (k, _) in zip(said, tests))
+
+
+def test_adamw_and_the_whole_grid():
+    from corpusmill.operators import train
+    from corpusmill.plans.evaluation import grid_configs
+
+    assert len({(c.optimizer, c.lr, c.dropout) for c in grid_configs()}) == 27
+    with pytest.raises(ValueError):
+        train.Network(2, 2, train.Config(optimizer="adagrad"))
+    n = train.Network(2, 2, train.Config((), 0.1, "adamw", l2=0.5))
+    w = n.params[0].copy()
+    n._step([np.ones_like(p) for p in n.params])  # the first Adam step is lr; weights have decayed before it, biases not
+    assert n.params[0] == pytest.approx(w * (1 - 0.1 * 0.5) - 0.1, abs=1e-6)
+    assert n.params[1] == pytest.approx(-0.1, abs=1e-6)
