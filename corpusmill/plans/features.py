@@ -211,7 +211,7 @@ def feature_rows(read):
 
     d = read("dataset").where("text is not null").select("row_id", "text", X.canonical_label(F.col("label")).alias("class"))
     s = stratified_split(d, "row_id", "class")
-    m = V.fit_features(s.where("part = 'train'"), "row_id", "text", 300, 200)
+    m = V.fit_features(s.where("part = 'train'"), "row_id", "text")
     return _value(V.features_of(s.where("part = 'test'"), "row_id", "text", m))
 
 

@@ -82,3 +82,29 @@ def test_adamw_and_the_whole_grid():
     n._step([np.ones_like(p) for p in n.params])  # the first Adam step is lr; weights have decayed before it, biases not
     assert n.params[0] == pytest.approx(w * (1 - 0.1 * 0.5) - 0.1, abs=1e-6)
     assert n.params[1] == pytest.approx(-0.1, abs=1e-6)
+
+
+def test_feature_rows_of_production_size(monkeypatch):
+    import inspect
+
+    from corpusmill.operators import vectorize
+    from corpusmill.plans import features
+
+    seen = {}
+
+    def fit(*a, **k):
+        b = inspect.signature(real).bind(*a, **k)
+        b.apply_defaults()
+        seen.update(b.arguments)
+        raise StopIteration
+
+    real = vectorize.fit_features
+    monkeypatch.setattr(vectorize, "fit_features", fit)
+    from unittest.mock import MagicMock
+
+    monkeypatch.setattr("corpusmill.operators.sampling.stratified_split", MagicMock())
+    monkeypatch.setattr(features, "F", MagicMock())
+    monkeypatch.setattr(features.X, "canonical_label", MagicMock())
+    with pytest.raises(StopIteration):
+        features.feature_rows(MagicMock())
+    assert (seen["word_features"], seen["char_features"]) == (3000, 2000)
