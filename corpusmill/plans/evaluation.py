@@ -327,6 +327,12 @@ def stacked_regression(read):
     return train.leave_one_out_regression(rows, width, 5)
 
 
+def _models(p):
+    from ..operators.vectorize import fit_classes
+
+    return fit_classes(p, "model")  # too many are an error
+
+
 @query(f"WITH {P} SELECT model, n, accuracy FROM (SELECT model, n, round(accuracy, 6) AS accuracy FROM acc)")
 def resumed_run(read):
     """A run that asks a stub model only for what a checkpoint does not hold yet gives the same table as one run."""
@@ -336,7 +342,7 @@ def resumed_run(read):
     half = F.pmod(F.crc32("id"), F.lit(2)) == 0
     answers = p.select("id", "model", "ord", "gold", "pred")
     parts = None
-    for name in [r[0] for r in p.select("model").distinct().orderBy("model").limit(100).collect()]:
+    for name in _models(p):
         mine = answers.where(F.col("model") == name)
         prompts = mine.select("id", F.coalesce("pred", F.lit("")).alias("prompt"))
         first = classify(prompts.where(half), str, name)

@@ -108,3 +108,9 @@ def test_feature_rows_of_production_size(monkeypatch):
     with pytest.raises(StopIteration):
         features.feature_rows(MagicMock())
     assert (seen["word_features"], seen["char_features"]) == (3000, 2000)
+
+
+def test_more_than_a_hundred_models_are_kept(spark):
+    from corpusmill.plans.evaluation import _models
+
+    assert len(_models(spark.range(101).selectExpr("concat('m', id) AS model"))) == 101
