@@ -1,27 +1,28 @@
 """Choosing training corpora: combinations of sources ranked by a baseline classifier's accuracy on evaluation texts.
 
-All combinations are fitted together.  A row counts to every combination that holds its source, so that one distributed
-pass over the rows gives the loss and gradient of all of them; the driver holds only weights (terms x classes a
-combination) and takes the L-BFGS steps.
+A combination is judged on the first rows of each of its sources (the operator's own sample, a parameter), so one fit has a
+bounded table: it is a group of one task, and all combinations are fitted side by side.  The evaluation texts are not
+bounded; they are scored in one pass by all fitted models, which are sent to the executors.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
-from .vectorize import smooth_idf
-
-#: Combinations whose weights the driver still holds; more are an error.
+#: Combinations whose models (terms x classes each) are sent to the executors at once; more are an error.
 MOST_COMBINATIONS = 500
-_ROWS = 500  # of a dense block
+#: Rows of a source that a combination is fitted on, its first ones.
+ROWS_A_SOURCE = 500
 
 
 class _Descent:
-    """L-BFGS with backtracking of one combination; ``at`` is the point whose loss and gradient are wanted next."""
+    """L-BFGS with backtracking; ``at`` is the point whose loss and gradient are wanted next."""
 
     def __init__(self, size: int, tolerance: float, memory: int = 5):
         self.x, self.f, self.g, self.pairs = np.zeros(size), np.inf, None, []
@@ -29,7 +30,7 @@ class _Descent:
         self.steps, self.converged, self.ended = 0, False, False
 
     def take(self, f: float, g: np.ndarray) -> None:
-        if self.d is not None and not f <= self.f + 1e-4 * self.t * float(self.g @ self.d) + 1e-7 * abs(self.f):  # sums of single precision
+        if self.d is not None and not f <= self.f + 1e-4 * self.t * float(self.g @ self.d) + 1e-12 * abs(self.f):
             self.t /= 2
             self.ended = self.t < 1e-10
             self.at = self.x + self.t * self.d
@@ -58,41 +59,64 @@ class _Descent:
         self.at = self.x + self.d
 
 
-def _blocks(batch, width: int):
-    """(source, class, dense counts) of a batch's rows, a source and at most ``_ROWS`` rows at a time."""
-    source, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-    ids, n = (batch.column(i) for i in (2, 3))
-    starts = ids.offsets.to_numpy()
-    flat, counts = ids.values.to_numpy(), n.values.to_numpy()
-    for s in np.unique(source):
-        rows = np.flatnonzero(source == s)
-        for first in range(0, len(rows), _ROWS):
-            part = rows[first:first + _ROWS]
-            x = np.zeros((len(part), width), np.float32)
-            for i, r in enumerate(part):
-                x[i, flat[starts[r]:starts[r + 1]]] = counts[starts[r]:starts[r + 1]]
-            yield int(s), y[part], x
-
-
-def _weighed(idf: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared idf (terms, combinations), and weights times idf (terms, combinations x classes)."""
-    return np.ascontiguousarray((idf * idf).T), np.ascontiguousarray((idf[:, :, None] * w).transpose(1, 0, 2)).reshape(idf.shape[1], -1)
-
+def fit_regression(x: np.ndarray, y: np.ndarray, classes: int, c: float, iterations: int, tolerance: float) -> tuple[np.ndarray, bool]:
+    """Weights ((features + intercept) x classes) of multinomial logistic regression, and whether it converged.
 
-def _scores(x: np.ndarray, squares: np.ndarray, w: np.ndarray, b: np.ndarray):
-    """Class scores (rows, combinations, classes) of unit-length TF-IDF rows, and the rows' lengths before."""
-    norm = np.sqrt((x * x) @ squares)
-    norm[norm == 0] = 1
-    return (x @ w).reshape(len(x), *b.shape).astype(float) / norm[:, :, None] + b[None], norm
-
-
-def rank_combinations(rows: DataFrame, tests: DataFrame, combos: list[tuple[str, list[str]]], tokens: Column, classes: list[str], max_features: int = 3000, c: float = 1.0, iterations: int = 500, tolerance: float = 1e-4) -> DataFrame:
+    Minimises ``c`` times the summed cross entropy plus half the squared weights (not the intercepts) by L-BFGS, until no
+    gradient of the mean loss is above ``tolerance``.  A class without rows is never said.
+    """
+    n, d = x.shape
+    there = np.bincount(y, minlength=classes) > 0
+    run = _Descent((d + 1) * classes, tolerance)
+    at = np.arange(n)
+    while not run.ended and run.steps < iterations:
+        w = run.at.reshape(d + 1, classes)
+        z = x @ w[:-1] + w[-1]
+        z[:, ~there] = -np.inf
+        z -= z.max(axis=1, keepdims=True)
+        e = np.exp(z)
+        total = e.sum(axis=1, keepdims=True)
+        loss = float((np.log(total[:, 0]) - z[at, y]).sum()) + 0.5 * float((w[:-1] ** 2).sum()) / c
+        r = e / total
+        r[at, y] -= 1
+        g = np.vstack((x.T @ r + w[:-1] / c, r.sum(axis=0)))
+        run.take(loss / n, g.ravel() / n)
+    w = run.x.reshape(d + 1, classes).copy()
+    w[-1, ~there] = -np.inf
+    return w, run.converged
+
+
+def _unit_rows(counts: list[dict], terms: dict[str, int], idf: np.ndarray) -> np.ndarray:
+    """TF-IDF rows of unit length (zeros where no term is known)."""
+    x = np.zeros((len(counts), len(terms)))
+    for i, n in enumerate(counts):
+        for t, k in n.items():
+            j = terms.get(t)
+            if j is not None:
+                x[i, j] = k
+    x *= idf
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def _counted(tokens) -> list[dict]:
+    out = []
+    for t in tokens:
+        n: dict[str, int] = {}
+        for w in t:
+            n[w] = n.get(w, 0) + 1
+        out.append(n)
+    return out
+
+
+def rank_combinations(rows: DataFrame, tests: DataFrame, combos: list[tuple[str, list[str]]], tokens: Column, classes: list[str], max_features: int = 3000, c: float = 1.0, iterations: int = 500, tolerance: float = 1e-4,
+                      rows_a_source: int = ROWS_A_SOURCE, order: str = "text") -> DataFrame:
     """``(combo, hits, n, accuracy, place, converged)``: every combination of sources, ranked by accuracy on ``tests``.
 
-    ``rows(source, class, text)``, ``tests(class, text)``; ``combos`` are names with their sources.  For each combination
-    raw-count TF-IDF of its ``max_features`` most frequent terms (smoothed idf, unit length) is fitted on its rows, and
-    multinomial logistic regression with inverse penalty ``c`` until no gradient of the mean loss is above ``tolerance``.
-    Ties in accuracy go to the first name.
+    ``rows(source, class, text, <order>)``, ``tests(class, text)``; ``combos`` are names with their sources.  Each combination
+    is fitted on the first ``rows_a_source`` rows of each source by ``order``: raw-count TF-IDF of the ``max_features`` most
+    frequent terms (ties by term, smoothed idf, unit length) and multinomial logistic regression with inverse penalty ``c``.
+    Rows of other classes, or without text, are left out after the first rows were taken.  All ``tests`` are scored.
+    Ties in accuracy go to the first name; a combination without rows has no hits.
     """
     spark = rows.sparkSession
     schema = "combo string, hits bigint, n bigint, accuracy double, place int, converged boolean"
@@ -100,127 +124,49 @@ def rank_combinations(rows: DataFrame, tests: DataFrame, combos: list[tuple[str,
         raise ValueError(f"more than {MOST_COMBINATIONS} combinations of sources")
     if not combos:
         return spark.createDataFrame([], schema)
-    scratch, k = Scratch(spark, "corpora"), len(classes)
-    sources = sorted({s for _, parts in combos for s in parts})
-    at = {s: i for i, s in enumerate(sources)}
-    member = np.array([[s in parts for s in sources] for _, parts in combos])
-    listed = spark.createDataFrame([(s, i) for s, i in at.items()], "source string, s int")
-    y = F.array_position(F.array(*[F.lit(x) for x in classes]), F.col("class")).cast("int") - 1
-    used = rows.join(F.broadcast(listed), "source").select("s", y.alias("y"), tokens.alias("t"))
-    used = scratch.keep(used.where("y >= 0 and t is not null"), "rows")
-
-    size = np.zeros((len(sources), k))
-    for s, j, n in used.groupBy("s", "y").agg(F.count("*")).collect():
-        size[s, j] = n
-    of_combo = member @ size
-    n_rows = of_combo.sum(axis=1)
-    absent = np.where(of_combo > 0, 0.0, -1e9)  # a class without rows is never said
-
-    tf = used.select("s", F.explode("t").alias("term")).groupBy("term", "s").agg(F.count("*").alias("tf"))
-    df = used.select("s", F.explode(F.array_distinct("t")).alias("term")).groupBy("term", "s").agg(F.count("*").alias("df"))
-    pairs = spark.createDataFrame([(at[s], i, int(n_rows[i])) for i, (_, parts) in enumerate(combos) for s in sorted(set(parts))], "s int, i int, rows bigint")
-    stats = tf.join(df, ["term", "s"]).join(F.broadcast(pairs), "s").groupBy("i", "rows", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-    first = stats.withColumn("place", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("tf"), "term"))).where(F.col("place") <= max_features)
-    vocab = first.select("i", "term", smooth_idf(F.col("df"), F.col("rows")).alias("idf")).toPandas()  # max_features rows a combination
-    terms = {t: j for j, t in enumerate(sorted(vocab["term"].unique()))}
-    u = len(terms)
-    idf = np.zeros((len(combos), u), np.float32)
-    idf[vocab["i"].to_numpy(), vocab["term"].map(terms).to_numpy(dtype=int)] = vocab["idf"]
-    own = [np.flatnonzero(r) for r in idf]
-    fixed = spark.sparkContext.broadcast((terms, idf, own, member, absent))
-
-    def encode(batches):
-        lookup = fixed.value[0]
-        for b in batches:
-            ids, counts = [], []
-            for t in b.column(2).to_pylist():
-                n: dict[int, int] = {}
-                for j in map(lookup.get, t):
-                    if j is not None:
-                        n[j] = n.get(j, 0) + 1
-                ids.append(list(n))
-                counts.append(list(n.values()))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["s", "y", "ids", "n"])
-
-    encoded = "s int, y int, ids array<int>, n array<int>"
-    # rows of a source together, so that a task returns the gradients of few combinations; a large source has many tasks
-    tasks = max(2 * spark.sparkContext.defaultParallelism, used.rdd.getNumPartitions())
-    x = scratch.keep(used.mapInArrow(encode, encoded).repartitionByRange(tasks, "s", F.xxhash64("ids")), "counts")
-
-    runs = [_Descent(len(o) * k + k, tolerance) for o in own]
-    while live := [i for i, r in enumerate(runs) if not r.ended and r.steps < iterations and n_rows[i]]:
-        sent = spark.sparkContext.broadcast({i: runs[i].at.astype(np.float32) for i in live})
-
-        def gradients(batches, sent=sent):
-            _, idf, own, member, absent = fixed.value
-            points, sums, loss, made = sent.value, {}, {}, {}
-
-            def add(mine, total, ends):
-                total = total.reshape(u, len(mine), k)
-                for a, i in enumerate(mine):
-                    sums[i] = sums.get(i, 0) + np.concatenate(((total[own[i], a] * idf[i, own[i], None]).ravel(), ends[a]))
-
-            for b in batches:
-                for s, y, dense in _blocks(b, u):
-                    if s not in made:
-                        mine = [i for i in points if member[i, s]]
-                        w, bias = np.zeros((len(mine), u, k), np.float32), np.zeros((len(mine), k))
-                        for a, i in enumerate(mine):
-                            w[a, own[i]], bias[a] = points[i][:-k].reshape(-1, k), points[i][-k:]
-                        made[s] = (mine, *_weighed(idf[mine], w), bias + absent[mine], np.zeros((u, len(mine) * k), np.float32), np.zeros((len(mine), k)))
-                    mine, squares, w, bias, total, ends = made[s]
-                    if not mine:
-                        continue
-                    z, norm = _scores(dense, squares, w, bias)
-                    z -= z.max(axis=2, keepdims=True)
-                    log_p = z - np.log(np.exp(z).sum(axis=2, keepdims=True))
-                    r = np.exp(log_p)
-                    r[np.arange(len(y)), :, y] -= 1
-                    total += dense.T @ (r / norm[:, :, None]).astype(np.float32).reshape(len(y), -1)
-                    ends += r.sum(axis=0)
-                    for a, i in enumerate(mine):
-                        loss[i] = loss.get(i, 0.0) - float(log_p[np.arange(len(y)), a, y].sum())
-            for mine, _, _, _, total, ends in made.values():
-                add(mine, total, ends)
-            if sums:
-                yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([loss[i] for i in sums]), pa.array([v.astype(np.float32).tobytes() for v in sums.values()])], names=["i", "loss", "g"])
-
-        f, g = dict.fromkeys(live, 0.0), {i: np.zeros(len(runs[i].at)) for i in live}
-        for r in x.mapInArrow(gradients, "i int, loss double, g binary").collect():
-            f[r[0]] += r[1]
-            g[r[0]] += np.frombuffer(r[2], np.float32)
-        for i in live:
-            v = runs[i].at.copy()
-            v[-k:] = 0
-            g[i] += v / c
-            runs[i].take((f[i] + 0.5 * float(v @ v) / c) / n_rows[i], g[i] / n_rows[i])
-        sent.destroy()
-
-    final = spark.sparkContext.broadcast([r.x.astype(np.float32) for r in runs])
+    k = len(classes)
+    y = (F.array_position(F.array(*[F.lit(x) for x in classes]), F.col("class")).cast("int") - 1).alias("y")
+    pairs = spark.createDataFrame([(s, i) for i, (_, parts) in enumerate(combos) for s in sorted(set(parts))], "source string, i int")
+    listed = pairs.select("source").distinct()
+    first = rows.join(F.broadcast(listed), "source", "left_semi").withColumn("_place", F.row_number().over(Window.partitionBy("source").orderBy(order))).where(F.col("_place") <= rows_a_source)
+    used = first.select("source", y, tokens.alias("t"), "_place").where("y >= 0 and t is not null")
+
+    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["source", "_place"])
+        counts = _counted(pdf["t"])
+        tf: dict[str, int] = {}
+        df: dict[str, int] = {}
+        for n in counts:
+            for t, m in n.items():
+                tf[t] = tf.get(t, 0) + m
+                df[t] = df.get(t, 0) + 1
+        top = sorted(tf, key=lambda t: (-tf[t], t))[:max_features]
+        idf = np.log((1 + len(counts)) / (1 + np.array([df[t] for t in top], dtype=float))) + 1
+        x = _unit_rows(counts, {t: j for j, t in enumerate(top)}, idf)
+        w, converged = fit_regression(x, pdf["y"].to_numpy(), k, c, iterations, tolerance)
+        return pd.DataFrame({"i": [key[0]], "terms": [json.dumps(top)], "idf": [idf.tobytes()], "w": [w.tobytes()], "converged": [converged]})
+
+    # a given number of partitions, so that small tables stay spread over the tasks
+    spread = used.join(F.broadcast(pairs), "source").repartition(min(len(combos), 4 * spark.sparkContext.defaultParallelism), "i")
+    fitted = {r["i"]: r for r in spread.groupBy("i").applyInPandas(fit, "i int, terms string, idf binary, w binary, converged boolean").collect()}  # max_features rows a combination
+    models = spark.sparkContext.broadcast({i: (json.loads(r["terms"]), np.frombuffer(r["idf"]), np.frombuffer(r["w"]).reshape(-1, k)) for i, r in fitted.items()})
 
     def hits(batches):
-        _, idf, own, member, absent = fixed.value
-        w = np.zeros((len(own), u, k), np.float32)
-        bias = absent.copy()
-        for i, v in enumerate(final.value):
-            w[i, own[i]] = v[:-k].reshape(-1, k)
-            bias[i] += v[-k:]
-        squares, w = _weighed(idf, w)
-        found, n = np.zeros(len(own), np.int64), 0
+        known = {i: ({t: j for j, t in enumerate(terms)}, idf, w) for i, (terms, idf, w) in models.value.items()}
+        found, n = dict.fromkeys(known, 0), 0
         for b in batches:
-            for _, y, dense in _blocks(b, u):
-                z, _ = _scores(dense, squares, w, bias)
-                found += (z.argmax(axis=2) == y[:, None]).sum(axis=0)
-                n += len(y)
-        yield pa.record_batch([pa.array([found.tolist()], pa.list_(pa.int64())), pa.array([n], pa.int64())], names=["found", "n"])
-
-    judged = tests.select(F.lit(0).alias("s"), y.alias("y"), tokens.alias("t")).where("y >= 0 and t is not null").mapInArrow(encode, encoded)
-    found, n = np.zeros(len(combos), np.int64), 0
-    for r in judged.mapInArrow(hits, "found array<bigint>, n bigint").collect():
-        found, n = found + np.array(r[0]), n + r[1]
-    fixed.destroy()
-    final.destroy()
-    scratch.close()
-    order = sorted(range(len(combos)), key=lambda i: (-found[i], combos[i][0]))
-    ranked = [(combos[i][0], int(found[i]), n, int(found[i]) / n if n else None, p + 1, runs[i].converged) for p, i in enumerate(order)]
+            truth = b.column(0).to_numpy(zero_copy_only=False)
+            for s in range(0, b.num_rows, 2000):
+                counts, own = _counted(b.column(1).slice(s, 2000).to_pylist()), truth[s:s + 2000]
+                n += len(own)
+                for i, (terms, idf, w) in known.items():
+                    found[i] += int(((_unit_rows(counts, terms, idf) @ w[:-1] + w[-1]).argmax(axis=1) == own).sum())
+        yield pa.record_batch([pa.array([*found, -1], pa.int32()), pa.array([*found.values(), n], pa.int64())], names=["i", "hits"])
+
+    judged = tests.select(y, tokens.alias("t")).where("y >= 0 and t is not null").repartition(max(spark.sparkContext.defaultParallelism, tests.rdd.getNumPartitions()))
+    got = dict(judged.mapInArrow(hits, "i int, hits bigint").groupBy("i").agg(F.sum("hits")).collect())
+    models.destroy()
+    n = got.get(-1, 0)
+    order_ = sorted(range(len(combos)), key=lambda i: (-got.get(i, 0), combos[i][0]))
+    ranked = [(combos[i][0], got.get(i, 0), n, got.get(i, 0) / n if n else None, p + 1, bool(fitted[i]["converged"]) if i in fitted else False) for p, i in enumerate(order_)]
     return spark.createDataFrame(ranked, schema)
