@@ -1,7 +1,8 @@
 """Connected components of an edge table, distributed.
 
 ``connected_components`` first contracts each partition to a spanning forest, then runs
-large-star / small-star rounds (Kiveris et al. 2014, public) until nothing changes.  A contracted
+large-star / small-star rounds (Kiveris et al. 2014, public) until nothing changes; a vertex with many edges is
+spread over tasks.  A contracted
 graph of at most ``one_task`` edges is finished by a single task, with the same result.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .skew import salted_join
 
 ONE_TASK = 2_000_000
 FOREST_EDGES = 1_000_000
@@ -83,11 +85,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, one_task: int = ONE
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = scratch.keep(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        low = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "low")
+        large = scratch.keep(salted_join(both, low, "u", "n", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        low = scratch.keep(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        small = salted_join(down, low, "u", "n", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         e = scratch.keep(small, "small")
         scratch.drop(large)
         now = _fingerprint(e)
