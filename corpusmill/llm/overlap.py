@@ -1,15 +1,17 @@
 """Records that stand in an evaluation split and in the training split (problem 1).
 
-Method: similarity-hash bit fingerprints.  A text's fingerprint is made of the low bits of its
-minimum word hashes under ``BLOCKS * CODES`` functions (two texts agree in a bit with probability
-``(1 + likeness) / 2``).  Its segments, blocks of ``CODES`` 8-bit codes, are joined across the splits; a
-candidate stays if 128 of the fingerprint's bits differ in at most ``RADIUS`` places, and then
-the likeness of the texts themselves is computed.
-
-At a likeness of 0.7 a pair has no common block with probability 8e-5 (6e-6 at 0.75), and lies beyond the
-radius with probability 1e-6.  Blocks of the training split that occur in no evaluation text are dropped
-in the scan by a Bloom filter of bounded size.  Copies of a word set take part once per task and are
-put back at the end, so a text that a third of all rows repeat costs no more than its tasks.
+Method: similarity-hash bit fingerprints.  A text's fingerprint has ``WIDTH`` codes of 8 bits, those of its minimum word
+hashes, so that two texts agree in a code with their likeness as the chance.  Code blocks, each the first codes of a
+permutation of the fingerprint, are joined across the splits; a candidate stays if 128 of the fingerprint's bits
+differ in at most ``RADIUS`` places, and then the likeness of the texts themselves is computed.
+
+The codes of a block grow with the logarithm of the evaluation texts' number, so that a training row meets a bounded
+number of unrelated ones however large the tables are, and the number of blocks with them, so that a pair at the
+threshold is missed with a chance of 1e-3 (5e-6 at a likeness of 0.75 where it is 0.7); it lies beyond the radius
+with 1e-6.  All blocks of all rows take part, as packed entries of six bytes (``packed``); nothing is broadcast.
+
+Copies of a word set take part once per task and are put back at the end by a salted join.  A block code that more than
+``LOCAL`` rows of a batch share travels apart, as one list of rows a batch, spread over ``SALTS`` tasks.
 """
 
 from __future__ import annotations
@@ -20,27 +22,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scratch import Scratch
-from . import bits
+from ..operators.skew import salted_join
+from . import packed
 from .likeness import likeness, near_bits, word_arrays
 from .sketch import WordTable, hash_values, pack_bits, set_codes
-from .textcodes import blocks, mix64, word_sets
+from .textcodes import blocks, word_sets
 
-BLOCKS, CODES, RADIUS = 51, 5, 40
+RADIUS, LOCAL, SALTS = 40, 64, 32
 MIN_LIKENESS, MIN_WORDS = 0.7, 20
 
+_ROWS = "id {}, code bigint, f1 bigint, f2 bigint, codes binary"
 
-def fingerprints(min_words: int, words: np.ndarray | None = None):
-    """(id, text) batches -> (id, code, f1, f2, blocks); texts under ``min_words`` words are left out.
 
-    ``blocks`` is null for a text whose word set came before in the task, and otherwise holds the block
-    keys that ``words``, a Bloom filter, lets through.
-    """
-    width = BLOCKS * CODES
-    shift = (np.arange(CODES, dtype=np.uint64) * np.uint64(8))[None, None, :]
-    number = (np.arange(BLOCKS, dtype=np.uint64) << np.uint64(8 * CODES))[None, :]
+def fingerprints(min_words: int):
+    """(id, text) -> (id, code, f1, f2, codes); texts under ``min_words`` words are left out.
 
+    ``codes`` is null for a text whose word set came before in the task.
+    """
     def run(batches):
-        table = WordTable(width, np.uint32, lambda c: hash_values(c, width))
+        table = WordTable(packed.WIDTH, np.uint32, lambda c: hash_values(c, packed.WIDTH))
         seen: set[int] = set()
         for b in batches:
             for first, part in blocks(b.column(1).to_pylist()):
@@ -50,46 +50,95 @@ def fingerprints(min_words: int, words: np.ndarray | None = None):
                 if not len(good):
                     continue
                 code = set_codes(vocabulary, doc, word, len(part))[good].view(np.int64)
-                if len(seen) > 500_000:
+                if len(seen) > 500_000:  # what is forgotten only takes part once more
                     seen.clear()
                 fresh = np.array([not (c in seen or seen.add(c)) for c in code.tolist()], dtype=bool)
                 place = table.look_up(vocabulary)[word]
-                low = np.empty((fresh.sum(), width), dtype=np.uint32)
+                low = np.empty((fresh.sum(), packed.WIDTH), dtype=np.uint32)
                 for i, d in enumerate(good[fresh].tolist()):
                     table.rows[place[ends[d]:ends[d + 1]]].min(axis=0, out=low[i])
-                byte = (low * np.uint32(0x9E3779B1)) >> np.uint32(24)
-                key = number + (byte.reshape(-1, BLOCKS, CODES).astype(np.uint64) << shift).sum(axis=2, dtype=np.uint64)
-                key = mix64(key, 51).view(np.int64)
+                byte = ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
                 f1, f2 = np.zeros(len(good), dtype=np.int64), np.zeros(len(good), dtype=np.int64)
-                f1[fresh], f2[fresh] = pack_bits(byte[:, :128] & np.uint32(1))
-                let = bits.holds(words, key.ravel()).reshape(key.shape) if words is not None else np.ones(key.shape, dtype=bool)
-                size = np.zeros(len(good), dtype=np.int64)
-                size[fresh] = let.sum(axis=1)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32), mask=np.append(~fresh, False))
-                yield pa.record_batch([b.column(0).take(pa.array(first + good)), pa.array(code), pa.array(f1), pa.array(f2), pa.ListArray.from_arrays(offsets, pa.array(key[let]))], names=["id", "code", "f1", "f2", "blocks"])
+                f1[fresh], f2[fresh] = pack_bits(byte[:, :128] & 1)
+                values = iter(byte)
+                binary = pa.array([next(values).tobytes() if f else None for f in fresh], pa.binary())
+                yield pa.record_batch([b.column(0).take(pa.array(first + good)), pa.array(code), pa.array(f1), pa.array(f2), binary], names=["id", "code", "f1", "f2", "codes"])
     return run
 
 
-def overlapping_pairs(train: DataFrame, tests: DataFrame, min_likeness: float = MIN_LIKENESS, min_words: int = MIN_WORDS) -> DataFrame:
+def crowded(keys: np.ndarray, local: int) -> np.ndarray:
+    """Which entries of (rows x bands) keys share theirs with more than ``local`` rows of the batch."""
+    flat = keys.ravel()
+    cell = np.tile(np.arange(keys.shape[1], dtype=np.int64) * 4096, len(keys)) + ((flat >> np.uint64(20)) & np.uint64(4095)).astype(np.int64)
+    many = np.bincount(cell, minlength=4096 * keys.shape[1]) > local
+    out = np.zeros(len(flat), dtype=bool)
+    if many.any():
+        at = np.flatnonzero(many[cell])
+        _, number, n = np.unique(flat[at], return_inverse=True, return_counts=True)
+        out[at] = n[number] > local
+    return out
+
+
+def _entries(columns: np.ndarray, parts: int, local: int | None, apart: bool = False):
+    """(ref, codes) -> packed entries without the crowded ones, or, with ``apart``, the crowded ones as (key, rows)."""
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            refs, keys = b.column(0).to_numpy(zero_copy_only=False), packed.band_keys(packed.matrix(b.column(1)), columns)
+            hot = crowded(keys, local) if local else np.zeros(keys.size, dtype=bool)
+            flat, ref = keys.ravel(), np.repeat(refs, keys.shape[1])
+            if not apart:
+                yield packed.pack(flat[~hot], ref[~hot], parts)
+            elif hot.any():
+                order = np.argsort(flat[hot], kind="stable")
+                key, row = flat[hot][order], ref[hot][order]
+                start = np.flatnonzero(np.append(True, np.diff(key) != 0))
+                yield pa.record_batch([pa.array(key[start].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.append(start, len(key)).astype(np.int32)), pa.array(row))], names=["key", "rows"])
+    return run
+
+
+def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    a, b = packed.met(packed.unpack(left)[:2], packed.unpack(right)[:2])
+    return pa.table({"row_id": pa.array(a, pa.int64()), "test_code": pa.array(b, pa.int64())})
+
+
+def candidates(rows: DataFrame, items: DataFrame, scratch: Scratch, codes: int, bands: int, local: int = LOCAL) -> DataFrame:
+    """``(row_id, test_code)``: the pairs of ``rows(id, codes)`` and ``items(code, codes)`` with a block in common; pairs may repeat."""
+    columns = packed.band_columns(codes, bands)
+    left, right = rows.where("codes is not null").select("id", "codes"), items.where("codes is not null").select("code", "codes")
+    parts = packed.parts_for((rows.count() + items.count()) * bands)
+    hot = scratch.keep(left.mapInArrow(_entries(columns, parts, local, True), "key bigint, rows array<bigint>"), "crowded")
+    x = left.mapInArrow(_entries(columns, parts, local), packed.SCHEMA).groupBy("part")
+    y = right.mapInArrow(_entries(columns, parts, None), packed.SCHEMA)
+    pairs = x.cogroup(y.groupBy("part")).applyInArrow(_meet, "row_id bigint, test_code bigint")
+    if not hot.isEmpty():
+        test_keys = right.mapInArrow(_entries(columns, parts, 0, True), "key bigint, rows array<bigint>").select("key", F.explode("rows").alias("test_code"))
+        wanted = test_keys.join(hot.select("key").distinct(), "key", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        lists = hot.withColumn("salt", F.pmod(F.xxhash64("rows"), F.lit(SALTS)).cast("int"))
+        pairs = pairs.unionByName(lists.join(wanted, ["key", "salt"]).select(F.explode("rows").alias("row_id"), "test_code"))
+    return pairs
+
+
+def overlapping_pairs(train: DataFrame, tests: DataFrame, min_likeness: float = MIN_LIKENESS, min_words: int = MIN_WORDS, codes: int | None = None, bands: int | None = None, local: int = LOCAL) -> DataFrame:
     """``(row_id BIGINT, test_id STRING)``: rows of both splits whose texts are alike.
 
     ``train`` needs ``row_id, text``, ``tests`` needs ``id, text``; other columns are ignored.  Texts with
     fewer than ``min_words`` distinct words (null and empty ones too) match nothing, nor do null ids.
-    Each pair comes out once; empty tables give an empty result.
+    Each pair comes out once; empty tables give an empty result.  ``codes`` a block and the number of blocks
+    (``bands``) follow from the number of tests and the likeness unless given.
     """
-    spark = train.sparkSession
-    scratch = Scratch(spark, "overlap")
-    schema = "id {}, code bigint, f1 bigint, f2 bigint, blocks array<bigint>"
+    scratch = Scratch(train.sparkSession, "overlap")
     t = tests.select(F.col("id").cast("string").alias("id"), "text").where("id is not null and text is not null")
-    items = scratch.keep(t.mapInArrow(fingerprints(min_words), schema.format("string")), "tests")
-    keys = items.where("blocks is not null").select(F.explode("blocks").alias("key"))
-    sent = spark.sparkContext.broadcast(bits.build(keys, keys.count()))
+    items = scratch.keep(t.mapInArrow(fingerprints(min_words), _ROWS.format("string")), "tests")
     texts = train.select(F.col("row_id").cast("bigint").alias("id"), "text").where("row_id is not null and text is not null")
-    rows = scratch.keep(texts.mapInArrow(lambda it: fingerprints(min_words, sent.value)(it), schema.format("bigint")), "rows")
+    rows = scratch.keep(texts.mapInArrow(fingerprints(min_words), _ROWS.format("bigint")), "rows")
+    codes = codes or packed.codes_for(items.count())
+    met = candidates(rows, items, scratch, codes, bands or packed.bands_for(codes, min_likeness), local).repartition("row_id").distinct()
 
-    x = rows.select(F.explode("blocks").alias("key"), F.col("id").alias("row_id"), F.col("code").alias("code"), F.col("f1").alias("x1"), F.col("f2").alias("x2"))
-    y = items.select(F.explode("blocks").alias("key"), F.col("code").alias("test_code"), F.col("f1").alias("y1"), F.col("f2").alias("y2")).distinct()
-    near = scratch.keep(x.join(y, "key").where(near_bits(RADIUS)).groupBy("code", "test_code").agg(F.min("row_id").alias("row_id")), "near")
+    x = rows.where("codes is not null").select(F.col("id").alias("row_id"), "code", F.col("f1").alias("x1"), F.col("f2").alias("x2"))
+    y = items.where("codes is not null").select(F.col("code").alias("test_code"), F.col("f1").alias("y1"), F.col("f2").alias("y2")).distinct()
+    near = scratch.keep(met.join(x, "row_id").join(y, "test_code").where(near_bits(RADIUS)).groupBy("code", "test_code").agg(F.min("row_id").alias("row_id")), "near")
 
     wanted = near.select(F.col("row_id").alias("id")).distinct()
     left = word_arrays(texts.join(wanted, "id", "left_semi")).select(F.col("id").alias("row_id"), F.col("words").alias("a"))
@@ -97,9 +146,10 @@ def overlapping_pairs(train: DataFrame, tests: DataFrame, min_likeness: float =
     right = word_arrays(coded).select(F.col("id").alias("test_code"), F.col("words").alias("b"))
     alike = scratch.keep(near.join(left, "row_id").join(right, "test_code").where(likeness("a", "b") >= min_likeness).select("code", "test_code"), "alike")
 
-    members = rows.select(F.col("id").alias("row_id"), "code")
+    members = rows.select(F.col("id").alias("row_id"), "code").distinct()
     named = alike.join(items.select(F.col("id").alias("test_id"), F.col("code").alias("test_code")).distinct(), "test_code").select("code", "test_id").distinct()
-    return members.join(named, "code").select("row_id", "test_id")
+    sized = scratch.keep(named.join(rows.groupBy("code").agg(F.count("*").alias("n")), "code"), "named")
+    return salted_join(members, sized, "code", "n", "row_id").select("row_id", "test_id")
 
 
 def _coded(batches):

@@ -14,8 +14,8 @@ from .textcodes import mix64
 #: not truncated below; sets beyond 600,000 words are truncated above), largest register value.
 BASE, SHIFT, TOP = 1.05, 20, 255
 
-#: Words whose table rows a task keeps at most.
-TABLE_WORDS = 50_000
+#: Bytes of table rows that a task keeps at most (more if one block of texts has more words).
+TABLE_BYTES = 64_000_000
 
 
 class WordTable:
@@ -23,6 +23,7 @@ class WordTable:
 
     def __init__(self, width: int, dtype, make):
         self.width, self.dtype, self.make = width, dtype, make
+        self.most = TABLE_BYTES // (width * np.dtype(dtype).itemsize)
         self._clear()
 
     def _clear(self):
@@ -33,7 +34,7 @@ class WordTable:
         """Row numbers of sorted distinct codes; ``rows`` may be replaced by the call."""
         at = np.searchsorted(self.codes, vocabulary)
         known = (at < len(self.codes)) & (self.codes[np.minimum(at, max(len(self.codes) - 1, 0))] == vocabulary) if len(self.codes) else np.zeros(len(vocabulary), dtype=bool)
-        if self.used + (~known).sum() > max(TABLE_WORDS, len(vocabulary)):
+        if self.used + (~known).sum() > max(self.most, len(vocabulary)):
             self._clear()
             known[:] = False
         new = vocabulary[~known]
