@@ -1,15 +1,16 @@
 """Groups of records with nearly the same words (problem 2).
 
-Method: SetSketch registers.  Each text gets ``BANDS * REGISTERS`` registers (truncated minima on
-an exponential scale); bands of registers are hashed into buckets; texts of a bucket are
-candidates.  128 register bits first drop most chance meetings, then the two sketches give a
-maximum-likelihood estimate of the likeness, and what that leaves is verified on the texts' words.
-Verified links are closed to groups by distributed connected components.
+Method: SetSketch registers.  Each text gets ``WIDTH`` registers (truncated minima on an exponential scale); bands
+of registers are hashed into buckets; texts of a bucket are candidates.  128 register bits first drop most chance
+meetings, then the two sketches give a maximum-likelihood estimate of the likeness, and what that leaves is verified on
+the texts' words.  Verified links are closed to groups by distributed connected components.
 
-At a likeness of 0.7 two texts share no band with probability 2e-4 (5e-6 at 0.75), fall outside
-``RADIUS`` with 1e-6, and below the estimate's margin (six standard errors) with 1e-9.
+The registers of a band grow with the logarithm of the rows, so that a row meets a bounded number of unrelated ones
+however many there are, and the number of bands with them, so that a pair at the threshold shares no band with a
+chance of 1e-3 (5e-6 at a likeness of 0.75 where it is 0.7); it falls outside ``RADIUS`` with 1e-6, and below the
+estimate's margin (six standard errors) with 1e-9.  Entries travel packed, six bytes each (``packed``); nothing is broadcast.
 
-Skew.  Copies of a word set carry a sketch once per task; the rest are linked by their code.  In a
+Skew.  Copies of a word set carry a sketch once per task; the rest are linked by their code in a salted join.  In a
 bucket of up to ``BUCKET`` texts all pairs are candidates.  In a larger one only a star around one member
 is, at first, also inside a map task before the shuffle; afterwards the members that are still in
 another group than the bucket's largest are compared with all its members, in salted blocks.
@@ -25,17 +26,22 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..operators.scratch import Scratch
-from . import bits
+from ..operators.skew import salted_join
+from . import packed
 from .likeness import likeness, near_bits
+from .overlap import crowded
+from .packed import WIDTH
 from .sketch import WordTable, joint_estimate, pack_bits, register_values, set_codes
 from .textcodes import blocks, word_sets
 
-BANDS, REGISTERS, RADIUS = 64, 6, 40
+RADIUS = 40
 MIN_LIKENESS, MIN_WORDS = 0.7, 20
 BUCKET, LOCAL = 256, 64
-WIDTH = BANDS * REGISTERS
+#: Registers that a candidate's joint estimate is made from.
+ESTIMATED = 256
 
 _SKETCHES = "row_id bigint, code bigint, n int, d1 bigint, d2 bigint, registers binary"
+_PLAIN, _PIVOT, _STAR = 0, 1, 2
 
 
 def sketches(min_words: int):
@@ -51,7 +57,7 @@ def sketches(min_words: int):
                 if not len(good):
                     continue
                 code = set_codes(vocabulary, doc, word, len(part))[good].view(np.int64)
-                if len(seen) > 500_000:
+                if len(seen) > 500_000:  # what is forgotten only takes part once more
                     seen.clear()
                 fresh = np.array([not (c in seen or seen.add(c)) for c in code.tolist()], dtype=bool)
                 place = table.look_up(vocabulary)[word]
@@ -66,154 +72,106 @@ def sketches(min_words: int):
     return run
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if len(column) else np.zeros(0, np.uint8)
-    start = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset] if len(column) else 0
-    return data[start:start + len(column) * WIDTH].reshape(-1, WIDTH)
+def band_entries(columns: np.ndarray, parts: int, local: int):
+    """(row_id, registers) -> packed band entries.
 
-
-def band_entries(local: int):
-    """(row_id, registers) -> (key, row, pivot, salt): the band entries of each sketch.
-
-    A run of more than ``local`` equal keys in a batch becomes a star on the spot: its first row enters the
-    bucket with itself as pivot, the others carry that pivot and a salt of their own.
+    A run of more than ``local`` equal keys in a batch becomes a star on the spot: its first row enters the bucket as a
+    pivot; the others travel apart, as (key, pivot, row) of a part of their own.
     """
     def run(batches):
-        weight = (np.int64(1) << (8 * np.arange(REGISTERS, dtype=np.int64)))[None, None, :]
-        number = (np.arange(BANDS, dtype=np.int64) << np.int64(8 * REGISTERS))[None, :]
         for b in batches:
-            for s in range(0, b.num_rows, 2048):
-                part = b.slice(s, 2048)
-                rows = part.column(0).to_numpy(zero_copy_only=False)
-                m = _matrix(part.column(1)).reshape(-1, BANDS, REGISTERS)
-                key = (number + (m * weight).sum(axis=2)).ravel()
-                row = np.repeat(rows, BANDS)
-                order = np.lexsort((row, key))
-                key, row = key[order], row[order]
-                start = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+            if not b.num_rows:
+                continue
+            rows, keys = b.column(0).to_numpy(zero_copy_only=False), packed.band_keys(packed.matrix(b.column(1)), columns)
+            hot, key, row = crowded(keys, local), keys.ravel(), np.repeat(rows, keys.shape[1])
+            yield packed.pack(key[~hot], row[~hot], parts, _PLAIN)
+            if hot.any():
+                order = np.lexsort((row[hot], key[hot]))
+                key, row = key[hot][order], row[hot][order]
+                start = np.flatnonzero(np.append(True, np.diff(key) != 0))
+                yield packed.pack(key[start], row[start], parts, _PIVOT)
                 size = np.diff(np.append(start, len(key)))
-                hot = np.repeat(size > local, size)
-                pivot = np.where(hot, np.repeat(row[start], size), 0)
-                salt = np.where(hot & (pivot != row), row % 1024 + 1, 0).astype(np.int32)
-                yield pa.record_batch([pa.array(key), pa.array(row, pa.int64()), pa.array(pivot, mask=~hot), pa.array(salt)], names=["key", "row", "pivot", "salt"])
+                leaf = np.ones(len(key), dtype=bool)
+                leaf[start] = False
+                three = np.stack((key.view(np.int64), np.repeat(row[start], size), row), axis=1)[leaf]
+                # parts below zero only pass the stars on
+                own = -1 - int(rows[0] % 1024)
+                yield pa.record_batch([pa.array([own], pa.int32()), pa.array([_STAR], pa.int32()), pa.nulls(1, pa.int64()), pa.array([three.tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["part", "kind", "base", "refs", "rems"])
     return run
 
 
 def bucket_pairs(bucket: int):
-    """Entries sorted by (key, salt, pivot or not) -> (a, b, key): candidate pairs, or members of large buckets (b null)."""
-    def run(batches):
-        carry_key, carry = None, np.zeros(0, dtype=np.int64)
-        pivot_of = None  # of the open bucket, once it is a large one
-
-        def pairs_of(rows, starts, sizes):
-            """All pairs inside runs of equal keys, run sizes at most ``bucket``."""
-            out_a, out_b = [], []
-            for k in range(1, int(sizes.max()) if len(sizes) else 0):
-                live = sizes > k
-                s, n = starts[live], sizes[live] - k
-                i = np.repeat(s, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                out_a.append(rows[i])
-                out_b.append(rows[i + k])
-            return out_a, out_b
-
-        def emit(a, b, key=None):
-            a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
-            live = a != b
-            a, b = a[live], b[live]
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            if len(low):
-                order = np.lexsort((high, low))
-                low, high = low[order], high[order]
-                first = np.append(True, (np.diff(low) != 0) | (np.diff(high) != 0))
-                low, high = low[first], high[first]
-            return pa.record_batch([pa.array(low), pa.array(high), pa.nulls(len(low), pa.int64())], names=["a", "b", "key"])
-
-        def members(key, rows):
-            return pa.record_batch([pa.array(rows, pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array(np.full(len(rows), key, dtype=np.int64) if np.isscalar(key) else key, pa.int64())], names=["a", "b", "key"])
-
-        def large(key, rows, pivot):
-            yield emit(np.full(len(rows), pivot), rows)
-            yield members(key, rows)
-
-        for b in batches:
-            key, row = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            pivot = b.column(2)
-            flagged = ~pivot.is_null().to_numpy(zero_copy_only=False)
-            salted = b.column(3).to_numpy(zero_copy_only=False) > 0
-            if salted.any():
-                p = pivot.fill_null(0).to_numpy(zero_copy_only=False)
-                yield emit(p[salted], row[salted])
-                yield members(key[salted], row[salted])
-                key, row, flagged = key[~salted], row[~salted], flagged[~salted]
-            if not len(key):
-                continue
-            start = np.flatnonzero(np.append(True, np.diff(key) != 0))
-            size = np.diff(np.append(start, len(key)))
-            small_starts, small_sizes = [], []
-            for_each = np.flatnonzero((size > bucket) | np.logical_or.reduceat(flagged, start))
-            special = set(for_each.tolist()) | {0, len(start) - 1}
-            plain = np.ones(len(start), dtype=bool)
-            plain[list(special)] = False
-            if plain.any():
-                oa, ob = pairs_of(row, start[plain], size[plain])
-                if oa:
-                    yield emit(np.concatenate(oa), np.concatenate(ob))
-            for i in sorted(special):
-                k, rows, has = int(key[start[i]]), row[start[i]:start[i] + size[i]], bool(flagged[start[i]:start[i] + size[i]].any())
-                if k != carry_key:
-                    if carry_key is not None and pivot_of is None and len(carry) > 1:
-                        oa, ob = pairs_of(carry, np.array([0]), np.array([len(carry)]))
-                        yield emit(np.concatenate(oa), np.concatenate(ob))
-                    carry_key, carry, pivot_of = k, np.zeros(0, dtype=np.int64), None
-                if pivot_of is None:
-                    carry = np.concatenate((carry, rows))
-                    if len(carry) > bucket or has:
-                        pivot_of = int(carry[0])
-                        yield from large(k, carry, pivot_of)
-                        carry = carry[:0]
-                else:
-                    yield from large(k, rows, pivot_of)
-        if carry_key is not None and pivot_of is None and len(carry) > 1:
-            oa, ob = pairs_of(carry, np.array([0]), np.array([len(carry)]))
-            yield emit(np.concatenate(oa), np.concatenate(ob))
+    """All entries of a part -> (a, b, key): candidate pairs, or members of large buckets (b null)."""
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        if part < 0:
+            three = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(-1, 3) for x in table.column("refs").to_pylist()])
+            stars_a, stars_b = packed.unique_pairs(three[:, 1], three[:, 2])
+            return _met([(stars_a, stars_b)], three[:, 0], three[:, 2])
+        rem, row, kind = packed.unpack(table)
+        order = np.argsort(rem, kind="stable")
+        rem, row, pivot = rem[order], row[order], kind[order] == _PIVOT
+        start = np.flatnonzero(np.append(True, np.diff(rem) != 0)) if len(rem) else np.zeros(0, dtype=np.int64)
+        size = np.diff(np.append(start, len(rem)))
+        large = size > bucket
+        if pivot.any():
+            large |= np.logical_or.reduceat(pivot, start)
+        out = []
+        small, n = start[~large], size[~large]
+        for k in range(1, int(n.max()) if len(n) else 0):
+            live = n > k
+            i = packed.ranges(small[live], n[live] - k)
+            out.append((row[i], row[i + k]))
+        member = packed.ranges(start[large], size[large])
+        out.append((np.repeat(row[start[large]], size[large]), row[member]))
+        keys = (rem[member].astype(np.uint64) << np.uint64(32) | np.uint64(part)).view(np.int64)
+        return _met(out, keys, row[member])
     return run
 
 
+def _met(pairs, keys: np.ndarray, members: np.ndarray) -> pa.Table:
+    a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+    live = a != b
+    a, b = packed.unique_pairs(np.minimum(a, b)[live], np.maximum(a, b)[live])
+    return pa.table([pa.array(np.concatenate((a, members)), pa.int64()), pa.array(np.concatenate((b, np.zeros(len(members), np.int64))), pa.int64(), mask=np.arange(len(a) + len(members)) >= len(a)),
+                     pa.array(np.concatenate((np.zeros(len(a), np.int64), keys)), pa.int64(), mask=np.arange(len(a) + len(members)) < len(a))], names=["a", "b", "key"])
+
+
 def _estimated(min_likeness: float):
     """Keeps the pairs whose joint estimate does not rule out the threshold."""
     def run(batches):
         for b in batches:
-            s = _matrix(b.column(2)).astype(np.int16) - _matrix(b.column(3))
+            s = packed.matrix(b.column(2), ESTIMATED).astype(np.int16) - packed.matrix(b.column(3), ESTIMATED)
             above, below = (s > 0).sum(axis=1), (s < 0).sum(axis=1)
             na, nb = b.column(4).to_numpy(zero_copy_only=False), b.column(5).to_numpy(zero_copy_only=False)
-            j = joint_estimate(na, nb, above, below, WIDTH - above - below)
-            margin = 6 * np.sqrt(min_likeness * (1 - min_likeness) / WIDTH)
+            j = joint_estimate(na, nb, above, below, ESTIMATED - above - below)
+            margin = 6 * np.sqrt(min_likeness * (1 - min_likeness) / ESTIMATED)
             yield b.filter(pa.array(j >= min_likeness - margin))
     return run
 
 
-def _sketched_words(wanted: np.ndarray):
-    """(id, text) -> (id, n, registers, words) of the rows that ``wanted``, a Bloom filter, lets through."""
+def _sketched_words():
+    """(id, text) -> (id, n, registers, words)."""
     def run(batches):
-        table = WordTable(WIDTH, np.uint8, lambda c: register_values(c, WIDTH))
+        table = WordTable(ESTIMATED, np.uint8, lambda c: register_values(c, ESTIMATED))
         for b in batches:
-            b = b.filter(pa.array(bits.holds(wanted, b.column(0).to_numpy(zero_copy_only=False))))
             for first, part in blocks(b.column(1).to_pylist()):
                 vocabulary, doc, word = word_sets(part)
                 ends = np.searchsorted(doc, np.arange(len(part) + 1)).astype(np.int32)
                 place = table.look_up(vocabulary)[word]
-                sketch = [table.rows[place[s:e]].max(axis=0).tobytes() if e > s else bytes(WIDTH) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                sketch = [table.rows[place[s:e]].max(axis=0).tobytes() if e > s else bytes(ESTIMATED) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(vocabulary[word].view(np.int64)))
                 yield pa.record_batch([b.column(0).slice(first, len(part)), pa.array(np.diff(ends)), pa.array(sketch, pa.binary()), lists], names=["id", "n", "registers", "words"])
     return run
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch, min_likeness: float) -> DataFrame:
-    """The candidate pairs (a, b) that pass the estimate and then hold on the texts' words."""
-    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sent = texts.sparkSession.sparkContext.broadcast(bits.build(ids, ids.count()))
-    table = scratch.keep(texts.mapInArrow(lambda it: _sketched_words(sent.value)(it), "id bigint, n int, registers binary, words array<bigint>"), "words")
+    """The candidate pairs (a, b) that pass the estimate and then hold on the texts' words.
+
+    Sketches and words are made of the candidates' texts only, after a semi join by row.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    table = scratch.keep(texts.join(ids, "id", "left_semi").mapInArrow(_sketched_words(), "id bigint, n int, registers binary, words array<bigint>"), "words")
     sketch, words = table.select("id", "n", "registers"), table.select("id", "words")
     both = (pairs.join(sketch.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra")), "a")
             .join(sketch.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb")), "b").select("a", "b", "ra", "rb", "na", "nb"))
@@ -228,27 +186,34 @@ def _digests(table: DataFrame, row: str, x: str) -> DataFrame:
     return table.where("registers is not null").select(F.col("row_id").alias(row), F.col("d1").alias(f"{x}1"), F.col("d2").alias(f"{x}2"))
 
 
-def near_duplicate_groups(records: DataFrame, min_likeness: float = MIN_LIKENESS, min_words: int = MIN_WORDS, bucket: int = BUCKET, local: int = LOCAL) -> DataFrame:
+def candidates(table: DataFrame, registers: int, bands: int, bucket: int = BUCKET, local: int = LOCAL) -> DataFrame:
+    """``(a, b, key)``: pairs of ``table(row_id, registers)`` that share a band; rows with b null are the members of large buckets."""
+    fresh = table.where("registers is not null").select("row_id", "registers")
+    parts = packed.parts_for(table.count() * bands)
+    return fresh.mapInArrow(band_entries(packed.band_columns(registers, bands), parts, local), packed.SCHEMA).groupBy("part").applyInArrow(bucket_pairs(bucket), "a bigint, b bigint, key bigint")
+
+
+def near_duplicate_groups(records: DataFrame, min_likeness: float = MIN_LIKENESS, min_words: int = MIN_WORDS, bucket: int = BUCKET, local: int = LOCAL, registers: int | None = None, bands: int | None = None) -> DataFrame:
     """``(group_row_id BIGINT, row_id BIGINT)`` for every member of a group of two or more.
 
     ``records`` needs ``row_id, text``; other columns are ignored.  Rows whose texts reach ``min_likeness`` are
     linked, links are closed transitively, a group goes by its smallest ``row_id``.  Texts with fewer than
     ``min_words`` distinct words (null and empty ones too) and null ids are in no group; a row id that occurs
-    twice comes out once.  An empty table gives an empty result.
+    twice comes out once.  An empty table gives an empty result.  ``registers`` of a band and the number of
+    ``bands`` follow from the number of rows and the likeness unless given.
     """
     scratch = Scratch(records.sparkSession, "neardup")
     texts = records.select(F.col("row_id").cast("bigint").alias("id"), "text").where("row_id is not null and text is not null")
     table = scratch.keep(texts.mapInArrow(sketches(min_words), _SKETCHES), "sketches")
 
-    entries = table.where("registers is not null").select("row_id", "registers").mapInArrow(band_entries(local), "key bigint, row bigint, pivot bigint, salt int")
-    sorted_ = entries.repartition("key", "salt").sortWithinPartitions("key", F.col("pivot").isNull())
-    met = scratch.keep(sorted_.mapInArrow(bucket_pairs(bucket), "a bigint, b bigint, key bigint"), "met")
+    registers = registers or packed.codes_for(table.count())
+    met = scratch.keep(candidates(table, registers, bands or packed.bands_for(registers, min_likeness), bucket, local), "met")
     pairs = met.where("b is not null").select("a", "b").repartition("a").distinct()
     near = pairs.join(_digests(table, "a", "x"), "a").join(_digests(table, "b", "y"), "b").where(near_bits(RADIUS)).select("a", "b")
     links = _linked(scratch.keep(near, "near"), texts, scratch, min_likeness)
 
-    first = table.groupBy("code").agg(F.min("row_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = table.select("row_id", "code").join(first, "code").select(F.col("row_id").alias("u"), F.col("first").alias("v"))
+    first = scratch.keep(table.groupBy("code").agg(F.min("row_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copied")
+    copies = salted_join(table.select("row_id", "code"), first, "code", "n", "row_id").select(F.col("row_id").alias("u"), F.col("first").alias("v"))
     edges = links.unionByName(copies)
     groups = connected_components(edges, scratch)
 

@@ -64,12 +64,12 @@ def band_keys(matrix: np.ndarray, columns: np.ndarray) -> np.ndarray:
     return mix64(key, 51)
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """A binary column of ``WIDTH`` bytes a row, without nulls, as (rows x WIDTH)."""
+def matrix(column: pa.Array, width: int = WIDTH) -> np.ndarray:
+    """A binary column of ``width`` bytes a row, without nulls, as (rows x width)."""
     if not len(column):
-        return np.zeros((0, WIDTH), dtype=np.uint8)
+        return np.zeros((0, width), dtype=np.uint8)
     start = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset]
-    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[start:start + len(column) * WIDTH].reshape(-1, WIDTH)
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[start:start + len(column) * width].reshape(-1, width)
 
 
 def parts_for(entries: int) -> int:
