@@ -1,16 +1,17 @@
 """Evaluation passages standing verbatim inside a training corpus (problem 5).
 
-Method: suffix arrays over the training text, sharded by key; every test suffix is searched by
-bisection in the one shard that can hold its matches.
-
-* Texts become sequences of word codes.  Three doubling steps give every position the code of the
-  8 words that start there, and ``(code[p], code[p + 8])`` orders the suffixes to a depth of 16
-  words.  The order is that of the codes, which serves bisection as well as the alphabet's.
-* Suffixes that cannot match are pruned in the scan: a common run of ``min_words`` words needs
-  ``min_words - 7`` neighbouring 8-word codes that all occur in the test set, which a Bloom filter
-  of bounded size tells.  So the shuffle carries the leaking passages, not the corpus.
-* Shards are made of leading codes; a code with more than ``SHARD_ROWS`` suffixes is spread over
-  several shards by document, and the test suffixes of that code go to each of them.
+Method: suffix arrays over the training text in shards; every test suffix is searched by bisection in the shards that can
+hold its matches.
+
+* Anchors.  A run of ``min_words`` words holds a fixed number of neighbouring word grams of half that length; the gram with the
+  smallest hash is the run's anchor, the same wherever the run stands, and about one position in five is the anchor of
+  any run.  Corpus and tests are first met on their anchors alone, as packed entries of six bytes (``packed``): what
+  has no anchor in common with the other side is left out.  Nothing is broadcast, and no anchor is dropped for another reason.
+* Passages.  The runs around a shared anchor go, with their words, to the anchor's shard.  An anchor with more
+  than ``SHARD_ROWS`` passages on a side is spread by document, or by test, over a grid of shards.
+* Suffix arrays.  A shard sorts all suffixes of its passages by their words (prefix doubling), and bisects each test suffix
+  for the range of corpus suffixes that begin with the same ``min_words`` words.  Longer matches are read off as neighbouring
+  ranges of one diagonal, inside a passage in the shard and across passages after it.
 
 Copies of a test text are searched once.  Null or short texts match nothing.
 """
@@ -18,37 +19,46 @@ Copies of a test text are searched once.  Null or short texts match nothing.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scratch import Scratch
-from . import bits
+from . import packed
 from .textcodes import blocks, mix64, word_spans
 
-DEPTH = 8
 MIN_WORDS = 16
 SHARD_ROWS = 200_000
+LOCAL, SALTS = 64, 32
 
 
-def _gram_codes(words: np.ndarray) -> np.ndarray:
-    """Codes of the 8 words from each position on, by doubling; the last 7 positions have none."""
-    g, step = mix64(words, 3), 1
-    while step < DEPTH:
+def _doubled(codes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n`` words from each position on, by doubling; the last n - 1 positions have none."""
+    g, step = mix64(codes, 3), 1
+    while 2 * step <= n:
         g = mix64(g[:-step] * np.uint64(0x9E3779B97F4A7C15) + g[step:], 10 + step) if len(g) > step else g[:0]
         step *= 2
-    return g
+    rest = n - step
+    return mix64(g[:-rest] * np.uint64(0x9E3779B97F4A7C15) + g[rest:], 90) if rest and len(g) > rest else (g[:0] if rest else g)
 
 
-def _positions(texts: list[str]):
-    """Word codes of a block of texts: (text number, place in text, 8-word code or None) by position."""
-    doc, words = word_spans(texts)
-    g = _gram_codes(words)
-    n = len(g)
-    whole = doc[:n] == doc[DEPTH - 1:DEPTH - 1 + n]
-    first = np.searchsorted(doc, doc[:n])
-    return doc, doc[:n], np.arange(n) - first, g, whole
+def _least(g: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of ``n`` neighbours from each position on."""
+    step = 1
+    while 2 * step <= n:
+        g = np.minimum(g[:-step], g[step:]) if len(g) > step else g[:0]
+        step *= 2
+    rest = n - step
+    return np.minimum(g[:-rest], g[rest:]) if rest and len(g) > rest else (g[:0] if rest else g)
+
+
+def run_anchors(texts: list[str], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number by word, word codes, starts of the runs inside one text, their anchors)."""
+    doc, codes = word_spans(texts)
+    gram = (min_words + 1) // 2
+    anchor = _least(_doubled(codes, gram), min_words - gram + 1)
+    start = np.flatnonzero(doc[:len(anchor)] == doc[min_words - 1:min_words - 1 + len(anchor)])
+    return doc, codes, start, mix64(anchor[start], 77)
 
 
 def _code_of_text(doc: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
@@ -76,105 +86,203 @@ def _test_codes(min_words: int):
     return run
 
 
-def _test_suffixes(min_words: int):
-    """(code, pos, g0, g8) of each suffix with at least ``min_words`` words; g8 null in the tail."""
+def _entries(min_words: int, parts: int, local: int | None, apart: bool = False):
+    """(ref, text) -> the distinct anchors of each text as packed entries, without the crowded ones of a batch, or, ``apart``, those as (key, refs)."""
     def run(batches):
         for b in batches:
-            codes = b.column(0).to_numpy(zero_copy_only=False)
+            ids, keys, refs = b.column(0).to_numpy(zero_copy_only=False), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for first, part in blocks(b.column(1).to_pylist()):
-                _, doc, pos, g, whole = _positions(part)
-                at = np.flatnonzero(whole)
-                nxt = at + (min_words - DEPTH)
-                good = (nxt < len(g))
-                good[good] = whole[nxt[good]] & (doc[nxt[good]] == doc[at[good]])
-                tail = np.where(good, nxt, 0)
-                yield pa.record_batch([pa.array(codes[first + doc[at]]), pa.array(pos[at], pa.int64()), pa.array(g[at].view(np.int64)), pa.array(g[tail].view(np.int64), mask=~good)], names=["code", "pos", "g0", "g8"])
+                doc, _, start, anchor = run_anchors(part, min_words)
+                a, k = packed.unique_pairs(doc[start], anchor)
+                keys.append(k)
+                refs.append(ids[first + a])
+            key, ref = np.concatenate(keys), np.concatenate(refs)
+            hot = packed.crowded(key, local) if local is not None else np.zeros(len(key), dtype=bool)
+            if not apart:
+                yield packed.pack(key[~hot], ref[~hot], parts)
+            elif hot.any():
+                yield packed.lists(key[hot], ref[hot])
     return run
 
 
-def _corpus_suffixes(words: np.ndarray, min_words: int):
-    """(doc_id, pos, g0, g8) of the suffixes whose first ``min_words`` words may stand in the test set."""
-    need = min_words - DEPTH + 1
+def _shared(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The entries of both sides whose keys occur on both: (side, ref, anchor), the anchor without its middle bits."""
+    out = []
+    sides = [packed.unpack(t)[:2] for t in (left, right)]
+    for k in (0, 1):
+        keys, refs = sides[k]
+        live = np.isin(keys, sides[1 - k][0])
+        out.append((np.full(live.sum(), k, np.int32), refs[live], keys[live]))
+    part = (left if left.num_rows else right).column("part")[0].as_py()
+    side, ref, key = (np.concatenate([o[i] for o in out]) for i in range(3))
+    return pa.table({"side": side, "ref": pa.array(ref, pa.int64()), "anchor": pa.array((key.astype(np.uint64) << np.uint64(32) | np.uint64(part)).view(np.int64))})
+
 
+def _passages(min_words: int, parts: int):
+    """(ref, text, anchors) -> (anchor, ref, pos, words) of the runs around the given anchors."""
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            refs, lists = b.column(0), b.column(2)
             for first, part in blocks(b.column(1).to_pylist()):
-                _, doc, pos, g, whole = _positions(part)
-                if len(g) < need:
+                doc, codes, start, anchor = run_anchors(part, min_words)
+                mine = lists.slice(first, len(part))
+                of = np.repeat(np.arange(len(part)), np.diff(mine.offsets.to_numpy()))
+                wanted = mix64(mine.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ mix64(of.astype(np.uint64), 7), 8)
+                short = packed.short(anchor, parts)
+                live = np.flatnonzero(np.isin(mix64(short ^ mix64(doc[start].astype(np.uint64), 7), 8), wanted))
+                if not len(live):
                     continue
-                hit = whole & bits.holds(words, g)
-                total = np.concatenate(([0], np.cumsum(hit)))
-                full = np.flatnonzero(total[need:] - total[:-need] == need)
-                full = full[doc[full] == doc[full + need - 1]]
-                if len(full):
-                    yield pa.record_batch([pa.array(ids[first + doc[full]], pa.int64()), pa.array(pos[full], pa.int64()), pa.array(g[full].view(np.int64)), pa.array(g[full + need - 1].view(np.int64))], names=["doc_id", "pos", "g0", "g8"])
+                at, key, d = start[live], short[live], doc[start[live]]
+                new = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(d) != 0) | (key[1:] != key[:-1])))
+                low, high = at[new], at[np.append(new[1:], len(at)) - 1] + min_words
+                place = low - np.searchsorted(doc, d[new])
+                words = codes[packed.ranges(low, high - low)].view(np.int64)
+                ends = np.concatenate(([0], np.cumsum(high - low))).astype(np.int32)
+                yield pa.record_batch([pa.array(key[new].view(np.int64)), refs.take(pa.array(first + d[new])), pa.array(place, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(words))], names=["anchor", "ref", "pos", "words"])
     return run
 
 
-def search_shard(corpus: pd.DataFrame, test: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts the shard's suffixes to a suffix array and bisects every test suffix.
+def suffix_ranks(words: np.ndarray, passage: np.ndarray, depth: int, until: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of all suffixes of the passages by their words: by the first ``depth`` (-1 where there are fewer), and by ``until`` or more.
 
-    Returns the numbers of the matching (corpus row, test row).
+    Prefix doubling; a passage's end comes before every word.
     """
-    c0, c8 = corpus["g0"].to_numpy(), corpus["g8"].to_numpy()
-    array = np.lexsort((c8, c0))
-    c0, c8 = c0[array], c8[array]
-    t0, t8 = test["g0"].to_numpy(), test["g8"].to_numpy()
-    low, high = np.searchsorted(c0, t0, "left"), np.searchsorted(c0, t0, "right")
-    live = np.flatnonzero(low < high)
-    t8 = t8[live]
-
-    def bisect(before):
-        a, z = low[live].copy(), high[live].copy()
-        while (a < z).any():
-            mid = (a + z) // 2
-            go = np.flatnonzero(a < z)
-            m = mid[go]
-            right = before(c8[m], t8[go])
-            a[go[right]] = m[right] + 1
-            z[go[~right]] = m[~right]
-        return a
-
-    a, z = bisect(lambda c, t: c < t), bisect(lambda c, t: c <= t)
-    n = z - a
-    rows = np.repeat(a, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-    return array[rows], np.repeat(live, n)
-
-
-def _search(positions: bool):
-    def run(_key, corpus: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
-        c, t = search_shard(corpus, test)
+    _, rank = np.unique(words, return_inverse=True)
+    rank = rank.astype(np.int64) + 1
+    n, step, at_depth = len(words), 1, None
+
+    def joined(first, ahead):
+        second = np.zeros(n, dtype=np.int64)
+        if n > ahead:
+            same = passage[:-ahead] == passage[ahead:] if ahead else np.ones(n, dtype=bool)
+            second[:n - ahead] = np.where(same, first[ahead:], 0)
+        return np.unique(first * (n + 2) + second, return_inverse=True)[1].astype(np.int64) + 1
+
+    while True:
+        if at_depth is None and 2 * step > depth:
+            at_depth = joined(rank, depth - step) if depth > step else rank.copy()
+            whole = np.zeros(n, dtype=bool)
+            if n >= depth:
+                whole[:n - depth + 1] = passage[:n - depth + 1] == passage[depth - 1:]
+            at_depth[~whole] = -1
+        if step >= until and at_depth is not None:
+            return at_depth, rank
+        rank = joined(rank, step)
+        step *= 2
+
+
+def search_shard(corpus: list[np.ndarray], test: list[np.ndarray], min_words: int):
+    """Sorts the passages' suffixes to an array and bisects every test suffix.
+
+    Yields the matches as (corpus suffixes, test suffixes), places in the joined passages of each side; a range that is
+    equal for many test suffixes is found once.
+    """
+    both = corpus + test
+    words, sizes = np.concatenate(both), np.array([len(w) for w in both])
+    passage = np.repeat(np.arange(len(both)), sizes)
+    first, whole = suffix_ranks(words, passage, min_words, int(sizes.max()))
+    n = int(sizes[:len(corpus)].sum())
+    array = np.argsort(whole[:n], kind="stable")  # the suffix array of the corpus side
+    array = array[first[array] >= 0]
+    ranks = first[array]  # ascending, as the array's order is by all words
+    t = np.flatnonzero(first[n:] >= 0)
+    low, high = np.searchsorted(ranks, first[n + t], "left"), np.searchsorted(ranks, first[n + t], "right")
+    live = high > low
+    return array, t[live], low[live], high[live]
+
+
+def _search(min_words: int, positions: bool):
+    names = ["doc_id", "code", "doc_pos", "test_pos", "words"] if positions else ["doc_id", "code"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table({c: pa.array([], pa.int64()) for c in names})
+        if not left.num_rows or not right.num_rows:
+            return none
+        sides = []
+        for t in (left, right):
+            lists = t.column("words").combine_chunks()
+            ends = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy(zero_copy_only=False)
+            size = np.diff(ends)
+            ref, pos = (t.column(c).to_numpy() for c in ("ref", "pos"))
+            sides.append(([flat[a:z] for a, z in zip(ends, ends[1:])], np.repeat(ref, size), np.repeat(pos, size) + packed.ranges(np.zeros(len(size), np.int64), size), np.repeat(np.arange(len(size)), size)))
+        (c_words, c_ref, c_pos, c_passage), (t_words, t_ref, t_pos, t_passage) = sides
+        array, t, low, high = search_shard(c_words, t_words, min_words)
+        out = []
         if not positions:
-            pair = pd.DataFrame({"doc_id": corpus["doc_id"].to_numpy()[c], "code": test["code"].to_numpy()[t]})
-            return pair.drop_duplicates()
-        return pd.DataFrame({"doc_id": corpus["doc_id"].to_numpy()[c], "code": test["code"].to_numpy()[t], "doc_pos": corpus["pos"].to_numpy()[c], "test_pos": test["pos"].to_numpy()[t]})
+            # a range once for each text it stands in, a test once for each range
+            a, b = packed.unique_pairs(low, t_ref[t])
+            starts, where = np.unique(low, return_index=True)
+            size = high[where] - starts
+            rank, docs = packed.unique_pairs(np.repeat(np.arange(len(starts)), size), c_ref[array[packed.ranges(starts, size)]])
+            number = np.searchsorted(starts, a)
+            first, last = np.searchsorted(rank, number, "left"), np.searchsorted(rank, number, "right")
+            for s, e in packed.slices(last - first):
+                x, y = packed.unique_pairs(docs[packed.ranges(first[s:e], (last - first)[s:e])], np.repeat(b[s:e], (last - first)[s:e]))
+                out.append([x, y])
+            x, y = packed.unique_pairs(*(np.concatenate([o[i] for o in out]) for i in (0, 1))) if out else (array[:0], array[:0])
+            return pa.table([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=names)
+        for s, e in packed.slices(high - low):
+            c, q = array[packed.ranges(low[s:e], (high - low)[s:e])], np.repeat(t[s:e], (high - low)[s:e])
+            order = np.lexsort((c, c - q, t_passage[q], c_passage[c]))
+            c, q = c[order], q[order]
+            new = np.append(True, (np.diff(c) != 1) | (np.diff(q) != 1) | (np.diff(c_passage[c]) != 0) | (np.diff(t_passage[q]) != 0))
+            at = np.flatnonzero(new)
+            length = np.diff(np.append(at, len(c))) + min_words - 1
+            out.append([c_ref[c[at]], t_ref[q[at]], c_pos[c[at]], t_pos[q[at]], length])
+        return pa.table([pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in range(5)], names=names) if out else none
     return run
 
 
+def _near_anchors(texts: DataFrame, shared: DataFrame, side: int, scratch: Scratch, min_words: int, parts: int, label: str) -> DataFrame:
+    anchors = shared.where(F.col("side") == side).groupBy("ref").agg(F.collect_set("anchor").alias("anchors"))  # as many as a text has
+    return scratch.keep(texts.join(anchors, "ref").select("ref", "text", "anchors").mapInArrow(_passages(min_words, parts), "anchor bigint, ref bigint, pos bigint, words array<bigint>"), label)
+
+
+def _ways(passages: DataFrame, name: str) -> DataFrame:
+    return passages.groupBy("anchor").count().where(F.col("count") > SHARD_ROWS).select("anchor", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias(name))
+
+
 def _matches(documents: DataFrame, tests: DataFrame, scratch: Scratch, min_words: int, positions: bool) -> tuple[DataFrame, DataFrame]:
-    """(matching suffixes, or distinct pairs; test items with the code of their text)."""
-    if not DEPTH < min_words <= 2 * DEPTH:
-        raise ValueError(f"min_words must be from {DEPTH + 1} to {2 * DEPTH}")
-    texts = scratch.keep(tests.select(F.col("id").cast("string").alias("id"), "text").where("text is not null and id is not null").mapInArrow(_test_codes(min_words), "test_id string, code bigint, text string"), "tests")
-    suffixes = texts.dropDuplicates(["code"]).select("code", "text").mapInArrow(_test_suffixes(min_words), "code bigint, pos bigint, g0 bigint, g8 bigint")
-    spark = documents.sparkSession
-    test_suffixes = scratch.keep(suffixes, "test-suffixes")
-    grams = test_suffixes.select("g0")
-    n_test = grams.count()
-    words = bits.build(grams, n_test)
-    sent = spark.sparkContext.broadcast(words)
-    corpus = documents.select("doc_id", "text").where("text is not null").mapInArrow(lambda it: _corpus_suffixes(sent.value, min_words)(it), "doc_id bigint, pos bigint, g0 bigint, g8 bigint")
-    corpus = scratch.keep(corpus, "corpus-suffixes")
-    n = corpus.count()
-    shards = max(1, -(-max(n, n_test) // SHARD_ROWS), spark.sparkContext.defaultParallelism if n > 10_000 else 1)
-    hot = corpus.groupBy("g0").count().where(F.col("count") > SHARD_ROWS).select("g0", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("ways"))
-    ways = F.coalesce(F.col("ways"), F.lit(1))
-    c = corpus.join(hot, "g0", "left").withColumn("shard", F.pmod(F.xxhash64("g0", F.pmod(F.xxhash64("doc_id"), ways)), F.lit(shards))).drop("ways")
-    t = test_suffixes.where("g8 is not null").join(hot, "g0", "left").withColumn("way", F.explode(F.sequence(F.lit(0), ways - 1))).withColumn("shard", F.pmod(F.xxhash64("g0", F.col("way").cast("bigint")), F.lit(shards))).drop("ways", "way").distinct()
-    schema = "doc_id bigint, code bigint, doc_pos bigint, test_pos bigint" if positions else "doc_id bigint, code bigint"
-    found = c.groupBy("shard").cogroup(t.groupBy("shard")).applyInPandas(_search(positions), schema)
-    return found, texts.select("test_id", "code").distinct()
+    """(matching runs, or distinct pairs; test items with the code of their text)."""
+    if min_words < 1:
+        raise ValueError("min_words must be 1 or more")
+    items = scratch.keep(tests.select(F.col("id").cast("string").alias("id"), "text").where("text is not null and id is not null").mapInArrow(_test_codes(min_words), "test_id string, code bigint, text string"), "tests")
+    asked = items.dropDuplicates(["code"]).select(F.col("code").alias("ref"), "text")
+    corpus = documents.select(F.col("doc_id").cast("bigint").alias("ref"), "text").where("text is not null and doc_id is not null")
+
+    # about one word of six characters in five is an anchor
+    size = corpus.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = packed.parts_for(size // 30)
+    hot = scratch.keep(corpus.mapInArrow(_entries(min_words, parts, LOCAL, True), "key bigint, rows array<bigint>"), "crowded")
+    x, y = corpus.mapInArrow(_entries(min_words, parts, LOCAL), packed.SCHEMA), asked.mapInArrow(_entries(min_words, parts, None), packed.SCHEMA)
+    schema = "side int, ref bigint, anchor bigint"
+    met = x.groupBy("part").cogroup(y.groupBy("part")).applyInArrow(_shared, schema)
+    if not hot.isEmpty():
+        own = asked.mapInArrow(_entries(min_words, parts, 0, True), "key bigint, rows array<bigint>")
+        met_keys = scratch.keep(own.select("key", F.explode("rows").alias("ref")).join(hot.select("key").distinct(), "key", "left_semi"), "crowded-tests")
+        salted = met_keys.select("key").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        lists = hot.withColumn("salt", F.pmod(F.xxhash64("rows"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left_semi")
+        short = F.col("key").bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.col("key").bitwiseAND(F.lit(parts - 1)))
+        met = met.unionByName(lists.select(F.lit(0).alias("side"), F.explode("rows").alias("ref"), short.alias("anchor"))).unionByName(met_keys.select(F.lit(1).alias("side"), "ref", short.alias("anchor")))
+    shared = scratch.keep(met, "shared")
+
+    c = _near_anchors(corpus, shared, 0, scratch, min_words, parts, "corpus-passages")
+    t = _near_anchors(asked, shared, 1, scratch, min_words, parts, "test-passages")
+    n = max(c.count(), t.count())
+    shards = max(1, -(-n // SHARD_ROWS), documents.sparkSession.sparkContext.defaultParallelism if n > 10_000 else 1)
+    grid = scratch.keep(_ways(c, "down").join(_ways(t, "across"), "anchor", "full").select("anchor", F.coalesce("down", F.lit(1)).alias("down"), F.coalesce("across", F.lit(1)).alias("across")), "grid")
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        """Each passage to one row or column of its anchor's grid, and to all shards of it."""
+        own_way, all_ways = F.pmod(F.xxhash64("ref"), F.coalesce(own, F.lit(1))), F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        placed = side.join(grid, "anchor", "left").withColumn("i", own_way.cast("int")).withColumn("j", all_ways)
+        first, second = ("i", "j") if own == "down" else ("j", "i")
+        return placed.select(F.pmod(F.xxhash64("anchor", first, second), F.lit(shards)).cast("int").alias("shard"), "ref", "pos", "words")
+
+    schema = "doc_id bigint, code bigint" + ", doc_pos bigint, test_pos bigint, words bigint" * positions
+    found = dealt(c, "down", "across").groupBy("shard").cogroup(dealt(t, "across", "down").groupBy("shard")).applyInArrow(_search(min_words, positions), schema)
+    return found, items.select("test_id", "code").distinct()
 
 
 def leaked_pairs(documents: DataFrame, tests: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -197,10 +305,13 @@ def longest_matches(documents: DataFrame, tests: DataFrame, min_words: int = MIN
     """
     scratch = Scratch(documents.sparkSession, "leaks")
     found, items = _matches(documents, tests, scratch, min_words, True)
-    run = Window.partitionBy("doc_id", "code", "diagonal").orderBy("doc_pos")
-    runs = (found.distinct().withColumn("diagonal", F.col("doc_pos") - F.col("test_pos"))
-            .withColumn("run", F.col("doc_pos") - F.row_number().over(run))
-            .groupBy("doc_id", "code", "diagonal", "run").agg((F.count("*") + (min_words - 1)).alias("match_words"), F.min("doc_pos").alias("doc_word"), F.min("test_pos").alias("test_word")))
+    # runs of one diagonal that touch are one run: each begins where the one before may still go on
+    line = Window.partitionBy("doc_id", "code", "diagonal").orderBy("doc_pos", "words")
+    last = F.col("doc_pos") + F.col("words") - min_words
+    runs = (found.distinct().withColumn("diagonal", F.col("doc_pos") - F.col("test_pos")).withColumn("last", last)
+            .withColumn("before", F.max("last").over(line.rowsBetween(Window.unboundedPreceding, -1)))
+            .withColumn("run", F.sum(F.when(F.col("doc_pos") <= F.col("before") + 1, 0).otherwise(1)).over(line))
+            .groupBy("doc_id", "code", "diagonal", "run").agg((F.max("last") - F.min("doc_pos") + min_words).alias("match_words"), F.min("doc_pos").alias("doc_word"), F.min("test_pos").alias("test_word")))
     best = runs.groupBy("doc_id", "code").agg(F.max(F.struct("match_words", (-F.col("doc_word")).alias("d"), (-F.col("test_word")).alias("t"))).alias("b"))
     best = best.join(items, "code")
     best = best.groupBy("doc_id", "test_id").agg(F.max("b").alias("b"))

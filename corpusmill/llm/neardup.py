@@ -29,7 +29,6 @@ from ..operators.scratch import Scratch
 from ..operators.skew import salted_join
 from . import packed
 from .likeness import likeness, near_bits
-from .overlap import crowded
 from .packed import WIDTH
 from .sketch import WordTable, joint_estimate, pack_bits, register_values, set_codes
 from .textcodes import blocks, word_sets
@@ -83,7 +82,8 @@ def band_entries(columns: np.ndarray, parts: int, local: int):
             if not b.num_rows:
                 continue
             rows, keys = b.column(0).to_numpy(zero_copy_only=False), packed.band_keys(packed.matrix(b.column(1)), columns)
-            hot, key, row = crowded(keys, local), keys.ravel(), np.repeat(rows, keys.shape[1])
+            key, row = keys.ravel(), np.repeat(rows, keys.shape[1])
+            hot = packed.crowded(key, local)
             yield packed.pack(key[~hot], row[~hot], parts, _PLAIN)
             if hot.any():
                 order = np.lexsort((row[hot], key[hot]))

@@ -66,19 +66,6 @@ def fingerprints(min_words: int):
     return run
 
 
-def crowded(keys: np.ndarray, local: int) -> np.ndarray:
-    """Which entries of (rows x bands) keys share theirs with more than ``local`` rows of the batch."""
-    flat = keys.ravel()
-    cell = np.tile(np.arange(keys.shape[1], dtype=np.int64) * 4096, len(keys)) + ((flat >> np.uint64(20)) & np.uint64(4095)).astype(np.int64)
-    many = np.bincount(cell, minlength=4096 * keys.shape[1]) > local
-    out = np.zeros(len(flat), dtype=bool)
-    if many.any():
-        at = np.flatnonzero(many[cell])
-        _, number, n = np.unique(flat[at], return_inverse=True, return_counts=True)
-        out[at] = n[number] > local
-    return out
-
-
 def _entries(columns: np.ndarray, parts: int, local: int | None, apart: bool = False):
     """(ref, codes) -> packed entries without the crowded ones, or, with ``apart``, the crowded ones as (key, rows)."""
     def run(batches):
@@ -86,15 +73,12 @@ def _entries(columns: np.ndarray, parts: int, local: int | None, apart: bool = F
             if not b.num_rows:
                 continue
             refs, keys = b.column(0).to_numpy(zero_copy_only=False), packed.band_keys(packed.matrix(b.column(1)), columns)
-            hot = crowded(keys, local) if local else np.zeros(keys.size, dtype=bool)
             flat, ref = keys.ravel(), np.repeat(refs, keys.shape[1])
+            hot = packed.crowded(flat, local) if local is not None else np.zeros(len(flat), dtype=bool)
             if not apart:
                 yield packed.pack(flat[~hot], ref[~hot], parts)
             elif hot.any():
-                order = np.argsort(flat[hot], kind="stable")
-                key, row = flat[hot][order], ref[hot][order]
-                start = np.flatnonzero(np.append(True, np.diff(key) != 0))
-                yield pa.record_batch([pa.array(key[start].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.append(start, len(key)).astype(np.int32)), pa.array(row))], names=["key", "rows"])
+                yield packed.lists(flat[hot], ref[hot])
     return run
 
 

@@ -117,6 +117,40 @@ def unpack(table: pa.Table, kind: int | None = None) -> tuple[np.ndarray, np.nda
     return np.concatenate(rems), np.concatenate(rows), np.concatenate(kinds)
 
 
+def short(keys: np.ndarray, parts: int) -> np.ndarray:
+    """What an entry keeps of its key: the upper half and the part."""
+    return keys & np.uint64(0xFFFFFFFF00000000) | keys & np.uint64(parts - 1)
+
+
+def crowded(keys: np.ndarray, local: int) -> np.ndarray:
+    """Which of the keys of a batch occur more than ``local`` times in it."""
+    cell = ((keys >> np.uint64(20)) & np.uint64((1 << 20) - 1)).astype(np.int64)
+    out = np.zeros(len(keys), dtype=bool)
+    many = np.bincount(cell, minlength=1 << 20) > local
+    if many.any():
+        at = np.flatnonzero(many[cell])
+        _, number, n = np.unique(keys[at], return_inverse=True, return_counts=True)
+        out[at] = n[number] > local
+    return out
+
+
+def lists(keys: np.ndarray, refs: np.ndarray) -> pa.RecordBatch:
+    """Entries as one list of rows a key: (key, rows)."""
+    order = np.argsort(keys, kind="stable")
+    key, row = keys[order], refs[order]
+    start = np.flatnonzero(np.append(True, np.diff(key) != 0))
+    return pa.record_batch([pa.array(key[start].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.append(start, len(key)).astype(np.int32)), pa.array(row))], names=["key", "rows"])
+
+
+def slices(sizes: np.ndarray, most: int = 4_000_000):
+    """(start, end) of neighbouring sizes that come to about ``most`` together."""
+    if len(sizes):
+        cut = np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum() + most, most), "left")
+        for s, e in zip(cut, np.append(cut[1:], len(sizes))):
+            if e > s:
+                yield int(s), int(e)
+
+
 def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(a):
         return a, b
@@ -138,11 +172,9 @@ def met(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray
     low, high = np.searchsorted(keys, left[0], "left"), np.searchsorted(keys, left[0], "right")
     live = np.flatnonzero(high > low)
     size = (high - low)[live]
-    cut = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + most, most), "left")
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for s, e in zip(cut, np.append(cut[1:], len(live))):
-        if e > s:
-            x, y = unique_pairs(np.repeat(left[1][live[s:e]], size[s:e]), rows[ranges(low[live[s:e]], size[s:e])])
-            a.append(x)
-            b.append(y)
+    for s, e in slices(size, most):
+        x, y = unique_pairs(np.repeat(left[1][live[s:e]], size[s:e]), rows[ranges(low[live[s:e]], size[s:e])])
+        a.append(x)
+        b.append(y)
     return unique_pairs(np.concatenate(a), np.concatenate(b))

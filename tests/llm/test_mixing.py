@@ -5,7 +5,6 @@ import re
 import numpy as np
 
 from corpusmill.llm import mixing, sketch
-from corpusmill.llm.bits import build, holds
 from corpusmill.llm.textcodes import word_sets
 
 from .plain import sentence_maker
@@ -80,12 +79,3 @@ def test_sketches_merge():
     t = sketch.register_values(v, 64)
     k = [t[w[d == i]].max(axis=0) for i in range(3)]
     assert (np.maximum(k[0], k[1]) == k[2]).all()
-
-
-def test_filter_holds_all_keys(spark):
-    keys = spark.range(0, 5000).selectExpr("xxhash64(id) as k")
-    words = build(keys, 5000)
-    own = np.array([r.k for r in keys.collect()])
-    other = np.array([r.k for r in spark.range(10_000, 15_000).selectExpr("xxhash64(id) as k").collect()])
-    assert holds(words, own).all() and holds(words, other).mean() < 0.05
-    assert not holds(build(keys.limit(0), 0), own).any()
