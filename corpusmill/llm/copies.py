@@ -5,8 +5,9 @@ Method: recursive radix partitioning on canonical bytes, then counting in tries.
 * A record's canonical form is the two bare forms of its fields (plain form, letters and digits only) in
   sorted order, so field order does not count.
 * Records fall into buckets by the first bytes of the canonical form; a bucket with more than
-  ``BUCKET_ROWS`` records is split by further bytes, level by level, until each fits.  Only the bytes
-  a level looks at are read for it, and a level's table holds oversized prefixes only.
+  ``BUCKET_ROWS`` records is split by further bytes, level by level, until each fits or its records
+  end: what has no further bytes is one record, however many rows it has.  The first levels read a stored head only, and a
+  level's table holds oversized prefixes only.
 * Each bucket's records go into a compressed trie whose terminals count copies and keep the
   smallest row id.
 
@@ -27,8 +28,8 @@ from ..operators.scratch import Scratch
 from .textcodes import blocks, plain_letters
 
 BUCKET_ROWS = 20_000
-LEVELS = (2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 4096)
-HEAD = 32
+#: Bytes of the first level (each further one looks at twice as many), and bytes of the head that is stored apart.
+FIRST_LEVEL, HEAD = 2, 32
 #: Characters of distinct canonical forms that a task holds at most before it passes them on.
 FOLD_CHARS = 40_000_000
 
@@ -148,25 +149,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bucketed(table: DataFrame, scratch: Scratch, bucket_rows: int) -> DataFrame:
-    """Adds ``bucket``, the shortest prefix on the ladder of levels that at most ``bucket_rows`` records share."""
+    """Adds ``bucket``, the shortest prefix on the ladder of levels that at most ``bucket_rows`` records share.
+
+    A prefix counts as oversized only by records that go on behind it, so the ladder ends with the longest of them.
+    """
     source = table.where("canon is not null")
-    spread, tops = source, []
-    for i, level in enumerate(LEVELS):
-        text = "head" if level <= HEAD else "canon"
-        prefix = F.substring(text, 1, level)
-        counted = source.select(text, *[F.substring(text, 1, LEVELS[i - 1]).alias("up")] * bool(i))
-        if i:
+    spread, tops, level = source, [], FIRST_LEVEL
+    while True:
+        text = F.col("head") if level < HEAD else F.col("canon").cast("binary")
+        counted = source.select(F.substring(text, 1, level).alias("prefix"), F.octet_length(text).alias("size"), *[F.substring(text, 1, level // 2).alias("up")] * bool(tops))
+        if tops:
             counted = counted.join(tops[-1][1].select(F.col("prefix").alias("up")), "up", "left_semi")
-        over = scratch.keep(counted.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("prefix"), f"over-{level}")
+        over = scratch.keep(counted.where(F.col("size") > level).groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("prefix"), f"over-{level}")
         if over.isEmpty():
             break
         tops.append((level, over))
-    bucket = F.substring("canon", 1, LEVELS[0])
-    for k, (level, over) in enumerate(tops):
+        level *= 2
+    whole = F.col("canon").cast("binary")
+    bucket = F.substring(whole, 1, FIRST_LEVEL)
+    for level, over in tops:
         mark = f"_over{level}"
-        spread = spread.withColumn("_p", F.substring("canon", 1, level)).join(over.select(F.col("prefix").alias("_p"), F.lit(True).alias(mark)), "_p", "left").drop("_p")
-        deeper = LEVELS[min(k + 1, len(LEVELS) - 1)]
-        bucket = F.when(F.col(mark), F.substring("canon", 1, deeper)).otherwise(bucket)
+        spread = spread.withColumn("_p", F.substring(whole, 1, level)).join(over.select(F.col("prefix").alias("_p"), F.lit(True).alias(mark)), "_p", "left").drop("_p")
+        bucket = F.when(F.col(mark), F.substring(whole, 1, 2 * level)).otherwise(bucket)
     return spread.select(bucket.alias("bucket"), F.col("row_id").alias("row"), "low", "n", "canon")
 
 
@@ -175,7 +179,7 @@ def _grouped(records: DataFrame, a: str, b: str, bucket_rows: int) -> tuple[Data
     scratch = Scratch(records.sparkSession, "copies")
     blank = F.regexp_replace(F.col(b), r"[\s\x1c-\x1f\x85\p{Z}]+", "") == ""
     rows = records.where(F.col("row_id").isNotNull() & F.col(b).isNotNull() & ~blank).select(F.col("row_id").cast("bigint").alias("row_id"), F.coalesce(F.col(a), F.lit("")).alias("a"), F.col(b).alias("b"))
-    table = scratch.keep(rows.mapInArrow(_canonical, "row_id bigint, first bigint, low bigint, n bigint, canon string").withColumn("head", F.substring("canon", 1, HEAD)), "canonical")
+    table = scratch.keep(rows.mapInArrow(_canonical, "row_id bigint, first bigint, low bigint, n bigint, canon string").withColumn("head", F.substring(F.col("canon").cast("binary"), 1, HEAD)), "canonical")
     buckets = _bucketed(table, scratch, bucket_rows).repartition("bucket").sortWithinPartitions("bucket")
     firsts = scratch.keep(buckets.mapInArrow(_count, "row bigint, first_row bigint, copies bigint, lead boolean"), "counts")
     return table.select("row_id", "first"), firsts

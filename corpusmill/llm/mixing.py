@@ -7,7 +7,7 @@ that the expected tokens of each source come nearest to its share of all tokens.
 
 Rows that belong to one source for certain, and thus all have the same gradient, are summed to one row a
 source before the fit; rows with soft membership are passed over once a step, each task replaying the
-steps so far from the list of their residuals.  So a source with a third of all rows is a partial sum.
+steps since their rates were last stored from the list of their residuals.  So a source with a third of all rows is a partial sum.
 What the driver holds is the classifier and one number a source and step.
 """
 
@@ -25,8 +25,9 @@ from .tokens import Tokens
 
 #: Labelled rows the classifier is fitted on at most, hashed word features, training steps.
 SAMPLE_ROWS, FEATURES, TRAIN_STEPS = 4_000, 2_048, 80
-#: Steps of the fit at most, step length, and the change of rates below which it ends.
-FIT_STEPS, STEP, TOLERANCE = 24, 0.8, 1e-5
+#: Step length of the fit, the change of expected tokens (as a part of what a source may give) below which it ends, and the steps after which
+#: it gives up and says so; rates of rows without a source are stored once in so many steps.
+STEP, TOLERANCE, MOST_STEPS, STORED = 0.8, 1e-5, 1_000, 12
 #: Sources a target table may list; the fit's state is of this size.
 MAX_SOURCES = 10_000
 
@@ -98,44 +99,59 @@ def _posteriors(weights: np.ndarray):
     return run
 
 
-def replay(posterior: np.ndarray, cap: np.ndarray, residuals: np.ndarray, step: float = STEP) -> np.ndarray:
-    """Rates of documents after the projected-gradient steps whose relative residuals are given."""
-    rate = np.minimum(np.ones(len(posterior)), cap)
+def replay(rate: np.ndarray, posterior: np.ndarray, cap: np.ndarray, residuals: np.ndarray, step: float = STEP) -> np.ndarray:
+    """Rates of documents after further projected-gradient steps, whose relative residuals are given."""
     for r in residuals:
         rate = np.clip(rate - step * (posterior @ r), 0, cap)
     return rate
 
 
+def _rates(batch: pa.RecordBatch, residuals: np.ndarray, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(posteriors, rates) of a batch of (doc_id, tokens, posterior, rate)."""
+    p = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(repeats))
+    cap = repeats[p.argmax(axis=1)] if len(p) else np.zeros(0)
+    return p, replay(np.minimum(batch.column(3).to_numpy(zero_copy_only=False), cap), p, cap, residuals)
+
+
 def _soft_totals(residuals: np.ndarray, repeats: np.ndarray):
     def run(batches):
         total = np.zeros(len(repeats))
         for b in batches:
-            p = np.array(b.column(2).to_pylist(), dtype=float).reshape(b.num_rows, len(repeats))
-            n = b.column(1).to_numpy(zero_copy_only=False)
-            total += (p * (n * replay(p, repeats[p.argmax(axis=1)] if len(p) else np.zeros(0), residuals))[:, None]).sum(axis=0)
+            p, rate = _rates(b, residuals, repeats)
+            total += (p * (b.column(1).to_numpy(zero_copy_only=False) * rate)[:, None]).sum(axis=0)
         yield pa.record_batch([pa.array(np.arange(len(repeats)), pa.int64()), pa.array(total)], names=["k", "tokens"])
     return run
 
 
+def _moved(residuals: np.ndarray, repeats: np.ndarray):
+    """The rows with their rates after the given steps."""
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(_rates(b, residuals, repeats)[1])], names=["doc_id", "tokens", "posterior", "rate"])
+    return run
+
+
 class Mix:
     """A fitted mix; see ``fit_mix``."""
 
-    def __init__(self, names, shares, repeats, tokens, total, residuals, rates, soft, soft_totals, documents):
+    def __init__(self, names, shares, repeats, tokens, total, rates, soft, soft_totals, documents, steps, converged):
         self.names, self.shares, self.repeats, self.tokens, self.total = names, shares, repeats, tokens, total
-        self.residuals, self.rates, self.soft, self.soft_totals, self.documents = residuals, rates, soft, soft_totals, documents
+        self.rates, self.soft, self.soft_totals, self.documents = rates, soft, soft_totals, documents
+        self.steps, self.converged = steps, converged
 
     def report(self) -> DataFrame:
-        """``(source, target_share, tokens, max_repeats, wanted_tokens, reached_tokens, reached_share, at_cap, reachable)``.
+        """``(source, target_share, tokens, max_repeats, wanted_tokens, reached_tokens, reached_share, at_cap, reachable, converged)``.
 
         ``reached_tokens`` are the expected tokens at the fitted rates, ``reached_share`` their part of all reached
-        ones.  A source is not reachable if its rows, all drawn as often as they may, hold less than its share.
+        ones, which is above the target for the others where a source at its cap falls short: what is wanted of each is its part of
+        all tokens there are.  ``converged`` is false in all rows if the fit gave up.  A source is not reachable if its rows, all drawn as often as they may, hold less than its share.
         """
         spark = self.documents.sparkSession
         wanted = self.shares * self.total
         reached = self.tokens * self.rates + self.soft_totals
         whole = max(reached.sum(), 1e-9)
-        rows = [(n, float(s), int(t), int(c), float(w), float(x), float(x / whole), bool(r >= c - 1e-9), bool(not (t * c < w))) for n, s, t, c, w, x, r in zip(self.names, self.shares, self.tokens, self.repeats, wanted, reached, self.rates)]
-        return spark.createDataFrame(rows, "source string, target_share double, tokens bigint, max_repeats bigint, wanted_tokens double, reached_tokens double, reached_share double, at_cap boolean, reachable boolean")
+        rows = [(n, float(s), int(t), int(c), float(w), float(x), float(x / whole), bool(r >= c - 1e-9), bool(not (t * c < w)), bool(self.converged)) for n, s, t, c, w, x, r in zip(self.names, self.shares, self.tokens, self.repeats, wanted, reached, self.rates)]
+        return spark.createDataFrame(rows, "source string, target_share double, tokens bigint, max_repeats bigint, wanted_tokens double, reached_tokens double, reached_share double, at_cap boolean, reachable boolean, converged boolean")
 
     def draw(self) -> DataFrame:
         """``(doc_id, source, repeats)``: how often each document is drawn, none left out.
@@ -148,20 +164,22 @@ class Mix:
         rates = spark.createDataFrame([(n, float(r)) for n, r in zip(self.names, self.rates)], "source string, rate double")
         once = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 40)) / float(1 << 40)
         hard = self.documents.select("doc_id", "source").where("source is not null").join(F.broadcast(rates), "source", "left").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
-        residuals, repeats = self.residuals, self.repeats
-
-        def soft(batches):
-            for b in batches:
-                p = np.array(b.column(2).to_pylist(), dtype=float).reshape(b.num_rows, len(repeats))
-                r = replay(p, repeats[p.argmax(axis=1)] if len(p) else np.zeros(0), residuals)
-                yield pa.record_batch([b.column(0), pa.array(r)], names=["doc_id", "rate"])
-
-        drawn = hard.select("doc_id", "source", "rate").unionByName(self.soft.mapInArrow(soft, "doc_id bigint, rate double").withColumn("source", F.lit(None).cast("string")))
+        drawn = hard.select("doc_id", "source", "rate").unionByName(self.soft.select("doc_id", F.lit(None).cast("string").alias("source"), "rate"))
         whole = F.floor(F.col("rate") + 1e-9)
         return drawn.select("doc_id", "source", (whole + F.when(once < F.col("rate") - whole, 1).otherwise(0)).cast("bigint").alias("repeats"))
 
+    def faults(self) -> DataFrame:
+        """``(what, n)``: documents drawn more often than their source may be, rates not settled, sources with room more than 1 % off what is wanted."""
+        spark = self.documents.sparkSession
+        most = spark.createDataFrame([(n, int(c)) for n, c in zip(self.names, self.repeats)], "source string, most bigint")
+        often = self.draw().join(F.broadcast(most), "source", "left").where(F.col("repeats") > F.coalesce("most", F.lit(int(self.repeats.max())))).agg(F.count("*").alias("n"))
+        wanted = self.shares * self.total
+        off = np.abs(self.tokens * self.rates + self.soft_totals - wanted) > 0.01 * wanted
+        fixed = [("rates not settled", int(not self.converged)), ("sources with room off their share", int((off & (self.rates > 1e-9) & (self.rates < self.repeats - 1e-9)).sum()))]
+        return often.select(F.lit("documents drawn too often").alias("what"), "n").unionByName(spark.createDataFrame(fixed, "what string, n bigint"))
 
-def fit_mix(documents: DataFrame, targets: DataFrame, sample_rows: int = SAMPLE_ROWS, steps: int = FIT_STEPS) -> Mix:
+
+def fit_mix(documents: DataFrame, targets: DataFrame, sample_rows: int = SAMPLE_ROWS, steps: int = MOST_STEPS) -> Mix:
     """Fits document rates to the target shares.
 
     ``documents`` needs ``doc_id, text, source``, ``targets`` ``source, target_share, max_repeats``; other columns
@@ -182,31 +200,42 @@ def fit_mix(documents: DataFrame, targets: DataFrame, sample_rows: int = SAMPLE_
     total = tokens.sum()
 
     unknown = documents.where("source is null and doc_id is not null")
-    soft = spark.createDataFrame([], "doc_id bigint, tokens bigint, posterior array<double>")
+    schema = "doc_id bigint, tokens bigint, posterior array<double>, rate double"
+    soft = spark.createDataFrame([], schema)
     weights = None if unknown.isEmpty() else fit_classifier(documents, names, n_rows, sample_rows)
     if weights is not None:
         texts = unknown.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        soft = scratch.keep(texts.mapInArrow(_posteriors(weights), "doc_id bigint, tokens bigint, posterior array<double>"), "soft")
+        soft = scratch.keep(texts.mapInArrow(_posteriors(weights), "doc_id bigint, tokens bigint, posterior array<double>").withColumn("rate", F.lit(1.0)), "soft")
 
     wanted = shares * total
-    mass = tokens + 0.0
-    if weights is not None:
-        got = soft.mapInArrow(_soft_totals(np.zeros((0, len(names))), np.full(len(names), 1.0)), "k bigint, tokens double").groupBy("k").agg(F.sum("tokens")).collect()
-        for k, x in got:
-            mass[k] += x
-    residuals, rates = np.zeros((0, len(names))), np.minimum(1.0, repeats)
-    soft_totals = np.zeros(len(names))
-    for step in range(steps + 1):
+    none = np.zeros((0, len(names)))
+
+    def totals(pending: np.ndarray, caps: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(names))
         if weights is not None:
-            soft_totals = np.zeros(len(names))
-            for k, x in soft.mapInArrow(_soft_totals(residuals, repeats), "k bigint, tokens double").groupBy("k").agg(F.sum("tokens")).collect():
-                soft_totals[k] = x
-        new = (tokens * rates + soft_totals - wanted) / np.maximum(mass, 1e-9)
+            for k, x in soft.mapInArrow(_soft_totals(pending, caps), "k bigint, tokens double").groupBy("k").agg(F.sum("tokens")).collect():
+                out[k] = x
+        return out
+
+    mass = np.maximum(tokens + totals(none, np.ones(len(names))), 1e-9)
+    pending, rates = none, np.minimum(1.0, repeats)
+    soft_totals = totals(pending, repeats)
+    done, converged = 0, False
+    while not converged and done < steps:
+        new = (tokens * rates + soft_totals - wanted) / mass
         moved = np.clip(rates - STEP * new, 0, repeats)
-        if step == steps or (step and np.abs(moved - rates).max() < TOLERANCE):
-            break
-        residuals, rates = np.vstack((residuals, new)), moved
-    return Mix(names, shares, repeats, tokens, total, residuals, rates, soft, soft_totals, documents)
+        pending = np.vstack((pending, new))
+        if weights is not None and len(pending) == STORED:
+            soft, old = scratch.keep(soft.mapInArrow(_moved(pending, repeats), schema), "soft"), soft
+            scratch.drop(old)
+            pending = none
+        after = totals(pending, repeats)
+        change = np.abs(tokens * (moved - rates) + after - soft_totals) / mass
+        rates, soft_totals, done = moved, after, done + 1
+        converged = float(change.max(initial=0)) < TOLERANCE
+    if weights is not None and len(pending):
+        soft = scratch.keep(soft.mapInArrow(_moved(pending, repeats), schema), "soft")
+    return Mix(names, shares, repeats, tokens, total, rates, soft, soft_totals, documents, done, converged)
 
 
 def unreachable_sources(documents: DataFrame, targets: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -31,6 +31,8 @@ from .copies import bare_forms
 
 BINS, CHUNK = 256, 20_000
 MAX_NAME = 120
+#: Splits a target table may list; each gets whole bins.
+MAX_SPLITS = 64
 #: Author classes (fixed values); other and null labels count as one class more.
 CLASSES = ("anthropic", "google", "human", "meta", "openai")
 #: Rows that name no term are their own units; they are dealt in this many lots by a hash of the row.
@@ -173,7 +175,7 @@ def allocate(bins: np.ndarray, shares: np.ndarray) -> np.ndarray:
         costs = [((scale[s] * ((have[s] + full[i] - want[s]) ** 2 - (have[s] - want[s]) ** 2)).sum()) for s in range(len(shares))]
         to[i] = int(np.argmin(costs))
         have[to[i]] += full[i]
-    for _ in range(20):
+    while True:  # every move lowers the cost, so it ends
         now, better = cost(have), False
         for i in range(len(full)):
             for s in range(len(shares)):
@@ -183,7 +185,7 @@ def allocate(bins: np.ndarray, shares: np.ndarray) -> np.ndarray:
                 trial[to[i]] -= full[i]
                 trial[s] += full[i]
                 c = cost(trial)
-                if c < now - 1e-12:
+                if c < now * (1 - 1e-9) - 1e-12:
                     have, now, better = trial, c, True
                     to[i] = s
         if not better:
@@ -203,9 +205,9 @@ def split_assignment(records: DataFrame, targets: DataFrame, bins: int = BINS, c
     are left out; no target at all is an error).  Rows that name no term are units of their own.
     """
     spark = records.sparkSession
-    goals = [(r[0], float(r[1])) for r in targets.select("split_name", "share").where("share > 0 and split_name is not null").orderBy("split_name").limit(1000).collect()]
-    if not goals:
-        raise ValueError("no split has a share")
+    goals = [(r[0], float(r[1])) for r in targets.select("split_name", "share").where("share > 0 and split_name is not null").orderBy("split_name").limit(MAX_SPLITS + 1).collect()]
+    if not goals or len(goals) > MAX_SPLITS:
+        raise ValueError(f"from 1 to {MAX_SPLITS} splits must have a share")
     scratch = Scratch(spark, "splits")
     u = units(records, scratch)
     loose = F.lit(-1) - F.pmod(F.xxhash64("row_id"), F.lit(LOOSE_LOTS))
@@ -230,3 +232,24 @@ def split_report(records: DataFrame, targets: DataFrame) -> DataFrame:
     got = split_assignment(records, targets).join(records.select("row_id", _class_of().alias("class")), "row_id").groupBy("split_name", "class").agg(F.count("*").alias("rows"))
     whole = got.groupBy("class").agg(F.sum("rows").alias("all"))
     return got.join(whole, "class").join(targets.select("split_name", F.col("share").alias("target_share")), "split_name").select("split_name", "class", "rows", F.round(F.col("rows") / F.col("all"), 6).alias("share"), "target_share")
+
+
+def assignment_faults(records: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(what, n)``: divided units, assigned rows, rows assigned more than once, splits further from their share than the heaviest bin allows."""
+    scratch = Scratch(records.sparkSession, "split-faults")
+    got = scratch.keep(split_assignment(records, targets), "assigned")
+    u = units(records, scratch)
+    of = salted_join(records.select("row_id", "termo"), u.select("termo", "component", "rows"), "termo", "rows", "row_id").join(got, "row_id")
+    divided = of.groupBy("component", "split_name").agg(F.count("*").alias("n")).groupBy("component").agg(F.count("*").alias("splits"), F.sum("n").alias("n"))
+    heaviest = divided.agg(F.coalesce(F.max("n"), F.lit(0)).alias("heaviest"))
+    shares = targets.where("share > 0 and split_name is not null").select("split_name", (F.col("share") / F.sum("share").over(Window.partitionBy())).alias("share"))  # a few splits
+    whole = got.agg(F.count("*").alias("all"), (F.count("*") - F.count_distinct("row_id")).alias("again"))
+    # the heaviest unit or an equal part of all rows, whichever is more, is what a bin may weigh
+    off = shares.join(got.groupBy("split_name").agg(F.count("*").alias("n")), "split_name", "left").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(heaviest))
+    off = off.where(F.abs(F.coalesce("n", F.lit(0)) - F.col("share") * F.col("all")) > F.greatest("heaviest", F.col("all") / BINS) + 1)
+    rows = [divided.where("splits > 1").agg(F.count("*").alias("n")).select(F.lit("units divided").alias("what"), "n"), whole.select(F.lit("rows assigned").alias("what"), F.col("all").alias("n")),
+            whole.select(F.lit("rows more than once").alias("what"), F.col("again").alias("n")), off.agg(F.count("*").alias("n")).select(F.lit("splits off their share by more than a bin").alias("what"), "n")]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
