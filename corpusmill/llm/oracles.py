@@ -43,7 +43,7 @@ l AS (SELECT doc_id, k, count(*) + 15 AS n, min(d) AS d, min(t) AS t FROM (SELEC
 _CUTS = f"""m AS (SELECT max_tokens AS m, overlap_tokens AS o FROM size_limits WHERE item_kind = 'documents'), d0 AS (SELECT doc_id, text, {_tokens('text')} AS n FROM documents WHERE text IS NOT NULL),
 seg AS (SELECT doc_id, unnest(s) AS s, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(regexp_replace(replace(text, chr(10), chr(1)), '([.!?]["'')\\]»”’]*)[{_WS}]', '\\1' || chr(1), 'g'), chr(1)) AS s FROM d0 WHERE n > 0)),
 cut AS (SELECT doc_id, sum({_tokens('s')}) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM seg), b AS (SELECT doc_id, list_sort(list_distinct(list(pos))) AS cuts FROM cut GROUP BY 1),
-q(doc_id, n, cuts, piece, first_token, stop, natural) AS (SELECT doc_id, n, cuts, 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT), true FROM d0 JOIN b USING (doc_id)
+q(doc_id, n, cuts, piece, first_token, stop, nat) AS (SELECT doc_id, n, cuts, 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT), true FROM d0 JOIN b USING (doc_id)
  UNION ALL SELECT doc_id, n, cuts, piece + 1, greatest(stop - o, 0), CAST(coalesce(list_max(list_filter(cuts, lambda c: c > stop AND c <= greatest(stop - o, 0) + m)), greatest(stop - o, 0) + m) AS BIGINT),
   list_max(list_filter(cuts, lambda c: c > stop AND c <= greatest(stop - o, 0) + m)) IS NOT NULL FROM q, m WHERE stop < n)"""
 
@@ -67,7 +67,7 @@ a AS ({_GRAMS.format(k='doc_id', t='x')}), b AS ({_GRAMS.format(k='k', t='y')})
     "p4_checked": "SELECT 'units divided' AS what, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'rows assigned', count(*) FROM dataset UNION ALL SELECT 'rows more than once', 0 UNION ALL SELECT 'splits off their share by more than a bin', 0",
     "p6_wanted": f"WITH {_SUM} SELECT source, n AS tokens, CAST(round(target_share * total) AS BIGINT) AS wanted_tokens, n * max_repeats >= target_share * total AS reachable FROM s",
     "p6_checked": "SELECT 'documents drawn too often' AS what, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'rates not settled', 0 UNION ALL SELECT 'sources with room off their share', 0",
-    "p7_cuts": f"WITH RECURSIVE {_CUTS} SELECT doc_id, CAST(piece AS BIGINT) AS piece, first_token, stop - first_token AS tokens, natural FROM q WHERE piece > 0",
+    "p7_cuts": f'WITH RECURSIVE {_CUTS} SELECT doc_id, CAST(piece AS BIGINT) AS piece, first_token, stop - first_token AS tokens, nat AS "natural" FROM q WHERE piece > 0',
     "p6_found": f"WITH {_SUM} SELECT source FROM s WHERE n * max_repeats < target_share * total",
     "p7_found": f"""WITH m AS (SELECT max_tokens AS m FROM size_limits WHERE item_kind = 'documents'), d AS (SELECT doc_id, text, {_tokens('text')} AS n FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, unnest(string_split(regexp_replace(replace(text, chr(10), chr(1)), '([.!?]["'')\\]»”’]*)[{_WS}]', '\\1' || chr(1), 'g'), chr(1))) AS s FROM d, m WHERE n > m)
