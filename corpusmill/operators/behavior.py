@@ -109,7 +109,8 @@ def rank_shares(docs: DataFrame, doc: str, array: Column, ranks: DataFrame) -> D
     Pairs are counted per document before the lookup, so a pair is looked up once a document.
     """
     pairs = bigrams(docs, doc, array).groupBy("doc", "w1", "w2").agg(F.count("*").alias("n"))
-    r = pairs.join(ranks.select("w1", "w2", "rank"), ["w1", "w2"], "left")
+    # ranks beyond the last class need not be made: tasks pass on the first thousand followers of a word
+    r = pairs.join(ranks.where("rank <= 1000").select("w1", "w2", "rank"), ["w1", "w2"], "left")
     share = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0)) / F.sum("n")
     k = F.col("rank")
     return r.groupBy("doc").agg(share(k <= 10).alias("top10"), share((k > 10) & (k <= 100)).alias("top100"), share((k > 100) & (k <= 1000)).alias("top1000"), share(k.isNull() | (k > 1000)).alias("rest"))

@@ -43,18 +43,18 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Adds the row's place (from 1) in a total order without one task seeing all rows.
 
-    Rows are range-partitioned and sorted; the number of rows of the ranges before (one number a
-    partition) is added to the place in the range.
+    Rows are range-partitioned, sorted and written once with their place in the range; the number of rows of the
+    ranges before (one number a partition) is added when they are read.
     """
-    spark = df.sparkSession
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    # the number that a sorted row gets in its range, with the range's number in the upper bits
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     from .scratch import Scratch
 
-    kept = Scratch(spark, "rank").keep(parts, "sorted")
+    kept = Scratch(df.sparkSession, "rank").keep(parts, "sorted").withColumn("_part", F.shiftright("_at", 33))
     sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return kept.join(F.broadcast(before), "_part").withColumn(name, (place + F.col("_before")).cast("bigint")).drop("_part", "_before")
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a range
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return kept.join(F.broadcast(before), "_part").withColumn(name, (place + F.col("_before")).cast("bigint")).drop("_part", "_before", "_at")
 
 
 def plain_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
@@ -88,22 +88,27 @@ def complement(df: DataFrame, taken: DataFrame, key: str) -> DataFrame:
 
 
 def first_in_order(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """The first ``n`` rows in seeded order; a smaller ``n`` gives a prefix of a larger one."""
+    """The first ``n`` rows in seeded order, of a given number; a smaller ``n`` gives a prefix of a larger one."""
     return df.orderBy(*_order(key, seed)).limit(n)
 
 
+def _first_part(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """As ``first_in_order`` for an ``n`` that grows with the data: no task takes all ``n`` rows."""
+    return global_rank(df, _order(key, seed), "_rank").where(F.col("_rank") <= n).drop("_rank")
+
+
 def cap_class_share(df: DataFrame, key: str, label: str, value: str, share: float, seed: int = 42) -> DataFrame:
     """Thins class ``value`` to ``min(int(share * others / (1 - share)), n)`` rows; the others stay (null labels too)."""
     n = df.agg(F.count_if(F.col(label).eqNullSafe(value)).alias("own"), F.count("*").alias("all")).first()
     keep = min(int(share * (n["all"] - n["own"]) / (1 - share)), n["own"])
     own, rest = df.where(F.col(label).eqNullSafe(value)), df.where(~F.col(label).eqNullSafe(value))
-    return rest.unionByName(first_in_order(own, key, keep, seed))
+    return rest.unionByName(_first_part(own, key, keep, seed))
 
 
 def keep_class_part(df: DataFrame, key: str, label: str, value: str, part: float, seed: int = 42) -> DataFrame:
     """Keeps ``int(n * part)`` rows of class ``value`` and all others."""
     n = df.where(F.col(label).eqNullSafe(value)).count()
-    return df.where(~F.col(label).eqNullSafe(value)).unionByName(first_in_order(df.where(F.col(label).eqNullSafe(value)), key, int(n * part), seed))
+    return df.where(~F.col(label).eqNullSafe(value)).unionByName(_first_part(df.where(F.col(label).eqNullSafe(value)), key, int(n * part), seed))
 
 
 def mini_batches(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:

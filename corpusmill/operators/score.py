@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Weights of a layer that are still sent to every executor (some 50 MB).
+SENT_WEIGHTS = 2_000_000
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SENT_WEIGHTS + 1).count() <= SENT_WEIGHTS else df
+
 
 def affine(features: DataFrame, weights: DataFrame, bias: DataFrame) -> DataFrame:
     """``(doc, idx, value)`` times ``weights(idx, j, w)`` plus ``bias(j, b)`` -> ``(doc, idx, value)`` with idx = j.
 
-    Weights are the size of a layer and are sent to every executor; features stay sparse, so a document with no
+    Weights are the size of a layer; up to ``SENT_WEIGHTS`` are sent to every executor, larger layers are joined by a shuffle.  Features stay sparse, so a document with no
     feature at all still gets its bias through ``docs`` in ``network``.
     """
-    dot = features.join(F.broadcast(weights), "idx").groupBy("doc", "j").agg(F.sum(F.col("value") * F.col("w")).alias("x"))
+    dot = features.join(_sent(weights), "idx").groupBy("doc", "j").agg(F.sum(F.col("value") * F.col("w")).alias("x"))
     docs = features.select("doc").distinct()
     full = docs.crossJoin(F.broadcast(bias)).join(dot, ["doc", "j"], "left")  # documents x units of the layer
     return full.select("doc", F.col("j").alias("idx"), (F.coalesce("x", F.lit(0.0)) + F.col("b")).alias("value"))

@@ -17,8 +17,10 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of this machine only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; a folder of this machine only where it is unset and all tasks run in one process."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not there and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return there or tempfile.mkdtemp(prefix="corpusmill-")
 
 

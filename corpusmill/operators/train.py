@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows (with their runs) that one task may train on, and distinct rows of a leave-one-out; more are an error.
+MOST_ROWS, MOST_DISTINCT = 500_000, 20_000
 OPTIMIZERS = ("adam", "adamw", "sgd")
 
 
@@ -127,14 +129,20 @@ def dense(pdf: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return x, pdf["y"].to_numpy().astype(int)
 
 
+def _bounded(rows: DataFrame, most: int) -> None:
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows; fit on a sample, or with softmax_regression")
+
+
 HISTORY = "config bigint, run int, epoch int, loss double, acc double, val_loss double, val_acc double"
 
 
 def cross_validate(rows: DataFrame, configs: list[Config], width: int, classes: int) -> DataFrame:
     """Training history of every configuration on every fold run: ``rows(run, role, features ARRAY<DOUBLE>, y)``.
 
-    One task trains one configuration on one run; the rows of a run are a bounded sample.
+    One task trains one configuration on one run, so the rows are a bounded sample: more than ``MOST_ROWS`` are an error.
     """
+    _bounded(rows, MOST_ROWS)
     spark = rows.sparkSession
     ids = spark.createDataFrame([(i,) for i in range(len(configs))], "config bigint")
 
@@ -179,6 +187,7 @@ def _left_out(rows: DataFrame, predict, groups: int) -> DataFrame:
     """
     shares = rows.sparkSession.createDataFrame([(g,) for g in range(groups)], "share int")
     distinct = rows.groupBy("features", "y").agg(F.count("*").alias("n"))
+    _bounded(distinct, MOST_DISTINCT)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(key=[tuple(f) for f in pdf["features"]]).sort_values(["key", "y"]).reset_index(drop=True)
@@ -279,13 +288,18 @@ def softmax_regression(rows: DataFrame, features: str = "features", label: str =
     return LogisticRegression(featuresCol=features, labelCol=label, family="multinomial", regParam=l2, maxIter=iterations).fit(rows)
 
 
-def vectors(features: DataFrame, width: int) -> DataFrame:
-    """Long ``(doc, idx, value)`` features as one sparse vector a document."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+def dense_rows(features: DataFrame, width: int) -> DataFrame:
+    """Long ``(doc, idx, value)`` features as ``(doc, features ARRAY<DOUBLE>)``, zeros filled in; an ``idx`` outside the width is an error."""
+    import pyarrow as pa
 
-    @F.udf(VectorUDT())
-    def pack(a):
-        d = {int(r[0]): float(r[1]) for r in a}
-        return SparseVector(width, d)
+    def run(batches):
+        for b in batches:
+            at, value = b.column(1), b.column(2)
+            row = np.repeat(np.arange(b.num_rows), np.diff(at.offsets.to_numpy()))
+            x = np.zeros((b.num_rows, width))
+            x[row, at.flatten().to_numpy()] = value.flatten().to_numpy()
+            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * width, pa.int32()), pa.array(x.ravel()))], names=["doc", "features"])
 
-    return features.groupBy("doc").agg(pack(F.collect_list(F.struct("idx", "value"))).alias("features"))
+    sorted_ = features.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("f"))  # as long as a document
+    parts = sorted_.select("doc", F.transform("f", lambda x: x["idx"].cast("int")).alias("at"), F.transform("f", lambda x: x["value"].cast("double")).alias("value"))
+    return parts.mapInArrow(run, f"doc {features.schema['doc'].dataType.simpleString()}, features array<double>")

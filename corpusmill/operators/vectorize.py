@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +40,20 @@ def first_occurrences(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """``table(term, idx, tf, df, idf)`` with at most ``size`` terms; ``n_docs`` documents were fitted."""
+    """``table(term, idx, tf, df, idf)`` with ``rows`` of at most ``size`` terms; ``n_docs`` documents were fitted."""
 
     table: DataFrame
     size: int
     n_docs: int
+    rows: int
 
     def joined(self, counts: DataFrame) -> DataFrame:
-        return counts.join(_sent(self.table.select("term", "idx", "idf"), self.size), "term")
+        return counts.join(_sent(self.table.select("term", "idx", "idf"), self.rows), "term")
+
+    def listed(self) -> tuple[pa.Array, np.ndarray]:
+        """Terms and idf in the order of idx; only for what may be sent to every executor."""
+        t = self.table.select("term", "idx", "idf").toArrow().sort_by("idx")
+        return t.column("term").combine_chunks().cast(pa.string()), t.column("idf").to_numpy()
 
 
 def smooth_idf(df: Column, n_docs: int) -> Column:
@@ -59,7 +68,7 @@ def vocabulary(stats: DataFrame, n_docs: int, max_features: int, min_df: int, ma
     top = stats.where((F.col("df") >= min_df) & (F.col("df") <= int(max_df * n_docs))).orderBy(*order).limit(max_features)
     ranked = top.withColumn("idx", F.row_number().over(Window.orderBy(*order)) - 1)  # over max_features rows
     fitted = Scratch(stats.sparkSession, "vocabulary").keep(ranked.withColumn("idf", smooth_idf(F.col("df"), n_docs)), "vocabulary")
-    return Vocabulary(fitted, max_features, n_docs)
+    return Vocabulary(fitted, max_features, n_docs, fitted.count())
 
 
 def fit_words(docs: DataFrame, doc: str, tokens: Column, max_features: int = 5000, min_df: int = 2, max_df: float = 0.95) -> Vocabulary:
@@ -68,18 +77,98 @@ def fit_words(docs: DataFrame, doc: str, tokens: Column, max_features: int = 500
     return vocabulary(first_occurrences(docs, doc, tokens), docs.count(), max_features, min_df, max_df, order)
 
 
+class _Grams:
+    """Character n-grams of words, each word taken apart once: numbers of n-grams word after word."""
+
+    def __init__(self, low: int, high: int, terms: list[str] | None = None):
+        self.low, self.high = low, high
+        self.number = {} if terms is None else {t: i for i, t in enumerate(terms)}
+        self.grows = terms is None
+        self.word: dict[str, int] = {}
+        self.parts: list[np.ndarray] = []
+
+    def _of(self, word: str) -> np.ndarray:
+        w, out = f" {word} ", []
+        for n in range(self.low, self.high + 1):
+            for i in range(len(w) - n + 1):
+                g = w[i:i + n]
+                k = self.number.setdefault(g, len(self.number)) if self.grows else self.number.get(g, -1)
+                if k >= 0:
+                    out.append(k)
+        return np.array(out, dtype=np.int64)
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams of all words, one after the other; how many each word has)."""
+        for w in words:
+            if w not in self.word:
+                self.word[w] = len(self.parts)
+                self.parts.append(self._of(w))
+        got = [self.parts[self.word[w]] for w in words]
+        return np.concatenate(got) if got else np.zeros(0, np.int64), np.array([len(g) for g in got], dtype=np.int64)
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.repeat(start, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+
+
+def _tokens_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row of each token, its number in the distinct tokens, those); null lists have none."""
+    flat = column.flatten().dictionary_encode()
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), size), flat.indices.to_numpy(zero_copy_only=False), flat.dictionary
+
+
+def _counted(row: np.ndarray, item: np.ndarray, n: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, how often) of the distinct pairs, by row, then item."""
+    key, where, count = np.unique(row * most + item, return_inverse=True, return_counts=True)
+    if n is not None:
+        count = np.bincount(where, weights=n, minlength=len(key)).astype(np.int64)
+    return key // most, key % most, count
+
+
+#: Documents handled at once, and n-grams a task keeps counts of before it passes them on.
+_DOCS, _KEPT = 1_000, 500_000
+
+
+def _pieces(batches):
+    for b in batches:
+        for s in range(0, b.num_rows, _DOCS):
+            yield b.slice(s, _DOCS)
+
+
 def char_stats(docs: DataFrame, doc: str, text: str, low: int, high: int) -> DataFrame:
     """``(term, tf, df)`` of character n-grams inside words.
 
-    Frequencies come from the corpus's word counts (each distinct word is expanded once), document
-    frequencies from each document's distinct words; the corpus is never expanded occurrence by occurrence.
+    One pass: a task takes each distinct word apart once, and passes on one row for each n-gram it has met, so the corpus's
+    n-grams are shuffled neither by occurrence nor by document.
     """
-    words = T.char_words(F.col(text))
-    per_word = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    tf = per_word.select("n", F.explode(T.char_ngrams_of_word(F.col("w"), low, high)).alias("term")).groupBy("term").agg(F.sum("n").alias("tf"))
-    grams = F.array_distinct(F.flatten(F.transform(F.array_distinct(words), lambda w: T.char_ngrams_of_word(w, low, high))))
-    df = docs.select(F.explode(grams).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return tf.join(df, "term")
+    def run(batches):
+        grams, tf, df = _Grams(low, high), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def flush():
+            return pa.record_batch([pa.array(list(grams.number), pa.string()), pa.array(tf), pa.array(df)], names=["term", "tf", "df"])
+
+        for b in _pieces(batches):
+            row, code, words = _tokens_of(b.column(0))
+            flat, size = grams.of(words.to_pylist())
+            if not len(row):
+                continue
+            first = np.cumsum(size) - size
+            row, word, n = _counted(row, code, None, len(words))
+            each = size[word]
+            gram = flat[_spread(first[word], each)]
+            more = len(grams.number) - len(tf)
+            tf, df = np.append(tf, np.zeros(more, np.int64)), np.append(df, np.zeros(more, np.int64))
+            tf += np.bincount(gram, weights=np.repeat(n, each), minlength=len(tf)).astype(np.int64)
+            key = np.unique(np.repeat(row, each) * len(tf) + gram)
+            df += np.bincount(key % len(df), minlength=len(df))
+            if len(tf) > _KEPT:
+                yield flush()
+                grams, tf, df = _Grams(low, high), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield flush()
+
+    parts = docs.select(T.char_words(F.col(text)).alias("w")).mapInArrow(run, "term string, tf bigint, df bigint")
+    return parts.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def fit_chars(docs: DataFrame, doc: str, text: str, low: int = 2, high: int = 4, max_features: int = 2000, min_df: int = 2, max_df: float = 0.98) -> Vocabulary:
@@ -95,7 +184,7 @@ def char_counts(docs: DataFrame, doc: str, text: str, low: int, high: int, vocab
     """
     per_word = docs.select(F.col(doc).alias("doc"), F.explode(T.char_words(F.col(text))).alias("w")).groupBy("doc", "w").agg(F.count("*").alias("n"))
     grams = per_word.select("w").distinct().select("w", F.explode(T.char_ngrams_of_word(F.col("w"), low, high)).alias("term"))
-    kept = grams.join(_sent(vocabulary.table.select("term"), vocabulary.size), "term", "left_semi").groupBy("w", "term").agg(F.count("*").alias("k"))
+    kept = grams.join(_sent(vocabulary.table.select("term"), vocabulary.rows), "term", "left_semi").groupBy("w", "term").agg(F.count("*").alias("k"))
     of_word = kept.groupBy("w").agg(F.collect_list(F.struct("term", "k")).alias("g"))  # as long as a word
     found = per_word.join(of_word, "w").select("doc", "n", F.explode("g").alias("g"))
     return found.groupBy("doc", F.col("g.term").alias("term")).agg(F.sum(F.col("n") * F.col("g.k")).alias("n"))
@@ -106,6 +195,53 @@ def bag_of_words(counts: DataFrame, model: Vocabulary) -> DataFrame:
     return model.joined(counts).select("doc", "idx", "n")
 
 
+def _weighed(row, idx, n, idf, sublinear, normalise):
+    value = (1 + np.log(n) if sublinear else n.astype(float)) * idf[idx]
+    if normalise and len(row):
+        value = value / np.sqrt(np.bincount(row, weights=value * value))[row]
+    return value
+
+
+def _vectors(docs: DataFrame, doc: str, tokens: Column, model: Vocabulary, sublinear: bool, normalise: bool, grams: tuple[int, int] | None) -> DataFrame:
+    """TF-IDF of each row from its own tokens, or their character n-grams: a row's tokens are together, so nothing is shuffled."""
+    terms, idf = model.listed()
+    sent = docs.sparkSession.sparkContext.broadcast((terms, idf))
+
+    def run(batches):
+        terms, idf = sent.value
+        parts = _Grams(*grams, terms.to_pylist()) if grams else None
+        for b in _pieces(batches):
+            row, code, words = _tokens_of(b.column(1))
+            if not len(row):
+                continue
+            row, word, n = _counted(row, code, None, len(words))
+            if parts:
+                flat, size = parts.of(words.to_pylist())
+                each = size[word]
+                row, idx, n = _counted(np.repeat(row, each), flat[_spread((np.cumsum(size) - size)[word], each)], np.repeat(n, each), max(len(idf), 1))
+            else:
+                at = pc.fill_null(pc.index_in(words.cast(pa.string()), value_set=terms), -1).to_numpy(zero_copy_only=False)[word]
+                row, idx, n = row[at >= 0], at[at >= 0].astype(np.int64), n[at >= 0]
+            yield pa.record_batch([b.column(0).take(pa.array(row)), pa.array(idx.astype(np.int32)), pa.array(_weighed(row, idx, n, idf, sublinear, normalise))], names=["doc", "idx", "value"])
+
+    held = docs.select(F.col(doc).alias("doc"), tokens.alias("t"))
+    return held.mapInArrow(run, f"doc {held.schema['doc'].dataType.simpleString()}, idx int, value double")
+
+
+def token_tf_idf(docs: DataFrame, doc: str, tokens: Column, model: Vocabulary, sublinear: bool = True, normalise: bool = True) -> DataFrame:
+    """As ``tf_idf`` over ``token_counts``, for documents of one row each; without a shuffle unless the vocabulary is too large to be sent."""
+    if model.rows > BROADCAST_TERMS:
+        return tf_idf(token_counts(docs, doc, tokens), model, sublinear, normalise)
+    return _vectors(docs, doc, tokens, model, sublinear, normalise, None)
+
+
+def char_tf_idf(docs: DataFrame, doc: str, text: str, low: int, high: int, model: Vocabulary) -> DataFrame:
+    """As ``tf_idf`` over ``char_counts``, for documents of one row each; without a shuffle unless the vocabulary is too large to be sent."""
+    if model.rows > BROADCAST_TERMS:
+        return tf_idf(char_counts(docs, doc, text, low, high, model), model)
+    return _vectors(docs, doc, T.char_words(F.col(text)), model, True, True, (low, high))
+
+
 def tf_idf(counts: DataFrame, model: Vocabulary, sublinear: bool = True, normalise: bool = True) -> DataFrame:
     """``(doc, idx, value)``: ``1 + ln n`` or ``n``, times idf, each document scaled to length 1."""
     tf = 1 + F.log("n") if sublinear else F.col("n").cast("double")
@@ -169,7 +305,7 @@ def sequence_ids(docs: DataFrame, doc: str, tokens: Column, model: Vocabulary, l
     Only the tokens that are kept are looked up.  A document without tokens is all padding.
     """
     cut = docs.select(F.col(doc).alias("doc"), F.slice(F.coalesce(tokens, F.array().cast("array<string>")), 1, length).alias("t"))
-    at = cut.select("doc", F.posexplode("t").alias("pos", "term")).join(_sent(model.table.select("term", "idx"), model.size), "term", "left")
+    at = cut.select("doc", F.posexplode("t").alias("pos", "term")).join(_sent(model.table.select("term", "idx"), model.rows), "term", "left")
     ids = at.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.col("idx") + 2, F.lit(1)).alias("id")))), lambda x: x["id"]).alias("ids"))
     full = cut.select("doc").join(ids, "doc", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
     return full.select("doc", F.concat("ids", F.array_repeat(F.lit(0), F.lit(length) - F.size("ids"))).alias("ids"))
@@ -206,8 +342,8 @@ def features_of(docs: DataFrame, doc: str, text: str, model: FeatureModel) -> Da
     from ..functions.style import COLUMNS, style_features
 
     clean = _blocks(docs, text)
-    words = tf_idf(token_counts(clean, doc, T.word_ngrams(F.col("_tokens"), 1, 2)), model.words)
-    chars = tf_idf(char_counts(clean, doc, "_clean", 2, 4, model.chars), model.chars)
+    words = token_tf_idf(clean, doc, T.word_ngrams(F.col("_tokens"), 1, 2), model.words)
+    chars = char_tf_idf(clean, doc, "_clean", 2, 4, model.chars)
     style = scale(style_features(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))).select("doc", *[F.col(c).cast("double").alias(c) for c in COLUMNS]), COLUMNS, model.scaler)
     long = style.select("doc", F.posexplode(F.array(*COLUMNS)).alias("idx", "value"))
     start = model.words.size

@@ -9,7 +9,8 @@ from ..operators import vectorize as V
 from . import base as S
 from .base import query
 
-N_WORDS, N_CHARS = 500, 400
+#: The operators' own sizes: words and n-grams of words, character n-grams, sequence ids (two less for padding and unknown).
+N_WORDS, N_CHARS, N_SEQUENCE = 5_000, 2_000, 30_000 - 2
 
 
 def _words(c="text"):
@@ -79,14 +80,14 @@ _GRAM_OCC = f"""SELECT doc, unnest(a) AS term, unnest(range(1, len(a) + 1)) AS p
 @query(_tfidf(_counts(_GRAM_OCC), _vocab(_GRAM_OCC, N_WORDS, 2, 0.95)))
 def tfidf_word(read):
     d, grams = _corpus(read).select("doc_id", _words().alias("t")), T.word_ngrams(F.col("t"), 1, 2)
-    return _value(V.tf_idf(V.token_counts(d, "doc_id", grams), V.fit_words(d, "doc_id", grams, N_WORDS)))
+    return _value(V.token_tf_idf(d, "doc_id", grams, V.fit_words(d, "doc_id", grams, N_WORDS)))
 
 
 @query(_tfidf(_CHAR_COUNT, _CHAR_VOCAB))
 def tfidf_char(read):
     d = _corpus(read)
     m = V.fit_chars(d, "doc_id", "text", 2, 4, N_CHARS)
-    return _value(V.tf_idf(V.char_counts(d, "doc_id", "text", 2, 4, m), m))
+    return _value(V.char_tf_idf(d, "doc_id", "text", 2, 4, m))
 
 
 _TEST = "(SELECT id, text FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at, collected_at NULLS FIRST, text NULLS FIRST, split_name NULLS FIRST) AS rn FROM dataset_test) WHERE rn = 1)"
@@ -102,7 +103,7 @@ def first_tests(read):
 def tfidf_external(read):
     """Fitted on documents, applied to the evaluation texts."""
     m = V.fit_words(_corpus(read), "doc_id", _words(), N_WORDS)
-    return _value(V.tf_idf(V.token_counts(first_tests(read), "id", _words()), m))
+    return _value(V.token_tf_idf(first_tests(read), "id", _words(), m))
 
 
 _LETTER_OCC = _occurrences(S.letter_tokens("text"))
@@ -129,7 +130,7 @@ def tfidf_defaults(read):
     counts = V.token_counts(d, "doc_id", t)
     stats = counts.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
     m = V.vocabulary(stats, d.count(), 3000, 1, 1.0, [F.desc("tf"), F.asc("term")])
-    return _value(V.tf_idf(counts, m, sublinear=False))
+    return _value(V.token_tf_idf(d, "doc_id", t, m, sublinear=False))
 
 
 _DIMS = [f"e{i}" for i in range(8)]
@@ -162,24 +163,24 @@ _SEQ_OCC = _occurrences(_SEQ)
 
 
 @query(f"""
-WITH v AS ({_vocab(_SEQ_OCC, 3000, 1, 1.0)}), t AS (SELECT id, coalesce({_SEQ}, []) AS a FROM {_TEST}),
+WITH v AS ({_vocab(_SEQ_OCC, N_SEQUENCE, 1, 1.0)}), t AS (SELECT id, coalesce({_SEQ}, []) AS a FROM {_TEST}),
 o AS (SELECT id, unnest(a[:150]) AS term, unnest(range(1, least(len(a), 150) + 1)) AS i FROM t), k AS (SELECT id, string_agg(CAST(coalesce(idx + 2, 1) AS VARCHAR), ',' ORDER BY i) AS s FROM o LEFT JOIN v USING (term) GROUP BY id)
 SELECT t.id AS doc, concat(coalesce(s, ''), CASE WHEN len(a) > 0 AND len(a) < 150 THEN ',' ELSE '' END, array_to_string(list_transform(range(greatest(150 - len(a), 0)), lambda x: '0'), ',')) AS ids FROM t LEFT JOIN k USING (id)""")
 def seq_ids(read):
     d, t = _corpus(read), T.sequence_tokens(F.col("text"))
-    m = V.fit_words(d, "doc_id", t, 3000, 1, 1.0)
+    m = V.fit_words(d, "doc_id", t, N_SEQUENCE, 1, 1.0)
     ids = V.sequence_ids(first_tests(read), "id", t, m)
     return ids.select("doc", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query(f"""
-WITH v AS ({_vocab(_SEQ_OCC, 3000, 1, 1.0)}), n AS (SELECT count(*) AS n FROM embeddings), t AS ({_counts(_occurrences(_SEQ, _TEST, 'id'))}),
+WITH v AS ({_vocab(_SEQ_OCC, N_SEQUENCE, 1, 1.0)}), n AS (SELECT count(*) AS n FROM embeddings), t AS ({_counts(_occurrences(_SEQ, _TEST, 'id'))}),
 k AS (SELECT doc, n.n, v.idx, t.n AS c FROM t JOIN v USING (term), n), x AS (SELECT vec_id, unnest(embedding) AS e, unnest(range(len(embedding))) AS dim FROM embeddings)
 SELECT doc, dim, round(sum(c * CAST(e AS DOUBLE)) / sum(c), 4) + 0.0 AS value FROM k JOIN x ON x.vec_id = k.idx % k.n GROUP BY 1, 2""")
 def pooled_vectors(read):
     """Mean of the pretrained vectors of a text's known tokens; each token is looked up once per text."""
     d, t = _corpus(read), T.sequence_tokens(F.col("text"))
-    m = V.fit_words(d, "doc_id", t, 3000, 1, 1.0)
+    m = V.fit_words(d, "doc_id", t, N_SEQUENCE, 1, 1.0)
     e = read("embeddings")
     n = e.count()
     counts = m.joined(V.token_counts(first_tests(read), "id", t)).select("doc", (F.col("idx") % n).alias("vec_id"), "n")

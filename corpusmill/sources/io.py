@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import warnings
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +50,7 @@ def read_all(spark: SparkSession, paths: list[str], required: list[str]) -> Data
     for p in paths:
         try:
             df = read_csv(spark, p)
-        except Exception as e:  # a missing or broken file is skipped
+        except PySparkException as e:  # a missing or broken file is skipped
             warnings.warn(f"skipped {p}: {str(e)[:100]}", stacklevel=2)
             continue
         if not set(required) <= set(df.columns):
@@ -81,7 +82,7 @@ def known_keys(spark: SparkSession, path: str, key: str) -> DataFrame:
         df = read_csv(spark, path)
         if key in df.columns:
             return df.select(key).where(F.col(key).isNotNull()).distinct()
-    except Exception:
+    except PySparkException:  # no such file, or none that can be read
         pass
     return spark.createDataFrame([], f"`{key}` string")
 
