@@ -21,7 +21,12 @@ OPTIMIZERS = ("adam", "adamw", "sgd")
 
 @dataclass
 class Config:
-    """One training configuration; ``l2`` is part of the gradient, but with AdamW weights decay by ``lr * l2`` apart from it."""
+    """One training configuration; ``l2`` is part of the gradient, but with AdamW weights decay by ``lr * l2`` apart from it.
+
+    ``plateau``: epochs without a lower validation loss after which the rate is halved; ``warmup``: share of all steps in which
+    the rate rises to its value, to fall to 0 at the end; ``clip``: largest norm of a step's gradient (each 0: not used).
+    ``best``: whether the epoch kept is that of the lowest validation loss or of the highest accuracy.
+    """
 
     hidden: tuple[int, ...] = (128, 64)
     lr: float = 0.001
@@ -33,6 +38,10 @@ class Config:
     batch: int = 64
     patience: int = 5
     seed: int = 42
+    plateau: int = 0
+    warmup: float = 0.0
+    clip: float = 0.0
+    best: str = "loss"
 
 
 class Network:
@@ -46,7 +55,7 @@ class Network:
         self.params = [p for a, b in zip(sizes, sizes[1:]) for p in (self.rng.normal(0, np.sqrt(2 / max(a, 1)), (a, b)), np.zeros(b))]
         self.m = [np.zeros_like(p) for p in self.params]
         self.v = [np.zeros_like(p) for p in self.params]
-        self.steps = 0
+        self.steps, self.rate = 0, 1.0
         self.history: list[dict] = []
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
@@ -85,39 +94,60 @@ class Network:
 
     def _step(self, gradients):
         self.steps += 1
+        lr = self.c.lr * self.rate
+        if self.c.clip:
+            norm = np.sqrt(sum(float((g * g).sum()) for g in gradients))
+            gradients = [g * min(1.0, self.c.clip / max(norm, 1e-12)) for g in gradients]
         for i, g in enumerate(gradients):
             if self.c.optimizer in ("adam", "adamw"):
                 if self.c.optimizer == "adamw" and i % 2 == 0:
-                    self.params[i] = self.params[i] * (1 - self.c.lr * self.c.l2)
+                    self.params[i] = self.params[i] * (1 - lr * self.c.l2)
                 self.m[i] = 0.9 * self.m[i] + 0.1 * g
                 self.v[i] = 0.999 * self.v[i] + 0.001 * g * g
-                self.params[i] = self.params[i] - self.c.lr * (self.m[i] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[i] / (1 - 0.999**self.steps)) + 1e-8)
+                self.params[i] = self.params[i] - lr * (self.m[i] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[i] / (1 - 0.999**self.steps)) + 1e-8)
             else:
                 self.m[i] = self.c.momentum * self.m[i] + g
-                self.params[i] = self.params[i] - self.c.lr * self.m[i]
+                self.params[i] = self.params[i] - lr * self.m[i]
+
+    def _state(self):
+        return [p.copy() for p in self.params]
+
+    def _restore(self, state) -> None:
+        self.params = state
 
     def fit(self, x, y, x_val=None, y_val=None) -> "Network":
-        """Stops after ``patience`` epochs without a lower validation loss and goes back to the best epoch."""
+        """Stops after ``patience`` epochs without a better validation and goes back to the best epoch."""
         best, best_params, waited = np.inf, None, 0
+        plain, bad, lowest = 1.0, 0, np.inf
+        all_steps = self.c.epochs * -(-len(x) // self.c.batch)
         for epoch in range(self.c.epochs):
             order = self.rng.permutation(len(x))
             for s in range(0, len(x), self.c.batch):
                 at = order[s:s + self.c.batch]
+                up = self.c.warmup * all_steps
+                self.rate = plain * (min(1.0, (self.steps + 1) / max(up, 1.0), (all_steps - self.steps) / max(all_steps - up, 1.0)) if self.c.warmup else 1.0)
                 self._step(self._gradients(x[at], y[at]))
             p = self.probabilities(x)
             row = {"epoch": epoch, "loss": self.loss(p, y), "acc": float((p.argmax(1) == y).mean())}
             if x_val is not None and len(x_val):
                 q = self.probabilities(x_val)
                 row |= {"val_loss": self.loss(q, y_val), "val_acc": float((q.argmax(1) == y_val).mean())}
-                if row["val_loss"] < best:
-                    best, best_params, waited = row["val_loss"], [p.copy() for p in self.params], 0
+                score = row["val_loss"] if self.c.best == "loss" else -row["val_acc"]
+                if score < best:
+                    best, best_params, waited = score, self._state(), 0
                 else:
                     waited += 1
+                if row["val_loss"] < lowest * (1 - 1e-4):
+                    lowest, bad = row["val_loss"], 0
+                else:
+                    bad += 1
+                if self.c.plateau and bad > self.c.plateau:
+                    plain, bad = plain / 2, 0
             self.history.append(row)
             if best_params is not None and waited >= self.c.patience:
                 break
         if best_params is not None:
-            self.params = best_params
+            self._restore(best_params)
         return self
 
 
@@ -162,6 +192,25 @@ def cross_validate(rows: DataFrame, configs: list[Config], width: int, classes:
     return spread.groupBy("config", "run").applyInPandas(fit, HISTORY)
 
 
+def retrain_all(rows: DataFrame, configs: list[Config], width: int, classes: int, history: DataFrame) -> DataFrame:
+    """``(config, cv_acc, val_acc, test_acc)``: every configuration trained again on the training part, next to its cross-validation.
+
+    ``rows(role, features, y)`` with roles ``train``, ``val`` (for stopping) and ``test``, a bounded sample; ``history`` as ``cross_validate`` gives it.
+    """
+    _bounded(rows, MOST_ROWS)
+    ids = rows.sparkSession.createDataFrame([(i,) for i in range(len(configs))], "config bigint")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(pdf["config"].iloc[0])
+        parts = {role: dense(pdf[pdf["role"] == role], width) for role in ("train", "val", "test")}
+        net = Network(width, classes, configs[k]).fit(*parts["train"], *parts["val"])
+        accuracy = [float((net.probabilities(x).argmax(1) == y).mean()) if len(y) else None for x, y in (parts["val"], parts["test"])]
+        return pd.DataFrame([[k, *accuracy]], columns=["config", "val_acc", "test_acc"]).astype({"val_acc": "float64", "test_acc": "float64"})
+
+    again = rows.crossJoin(F.broadcast(ids)).repartition(len(configs), "config").groupBy("config").applyInPandas(fit, "config bigint, val_acc double, test_acc double")
+    return ranking(history).select("config", F.col("mean_acc").alias("cv_acc")).join(again, "config")
+
+
 def ranking(history: DataFrame) -> DataFrame:
     """``(config, mean_acc, std_acc, min_acc, max_acc, place)`` by the best validation accuracy of each run."""
     from pyspark.sql import Window

@@ -215,6 +215,60 @@ def network_score(read):
     return b.join(read("embeddings").select(F.col("vec_id").alias("doc"), "label"), "doc").groupBy(F.col("pred").cast("bigint").alias("pred")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("pred")).alias("hits"))
 
 
+def _formula(n_in, n_out):
+    import numpy as np
+
+    i, j = np.arange(n_in)[:, None], np.arange(n_out)[None, :]
+    return (((i * 7 + j * 13) % 11) - 5) / 10, np.arange(n_out) / 100
+
+
+def _stack(sizes, normalised):
+    """Weights by formula, with normalisation of the hidden layers' outputs."""
+    import numpy as np
+
+    out = {}
+    for k, (a, b) in enumerate(zip(sizes, sizes[1:])):
+        out[f"{k}.w"], out[f"{k}.b"] = _formula(a, b)
+        if normalised and k < len(sizes) - 2:
+            j = np.arange(b)
+            out |= {f"{k}.gamma": 1 + (j % 3) / 10, f"{k}.beta": (j % 5) / 10, f"{k}.mean": (j % 7) / 10, f"{k}.var": 10.0 + j % 4}
+    return out
+
+
+def _layer(source, n_out, normalised, activation):
+    z = f"SELECT doc, j, sum(v * {_WEIGHT}) + j / 100 AS z FROM {source}, range({n_out}) r(j) GROUP BY doc, j"
+    y = "(z - (j % 7) / 10) / sqrt(10 + j % 4 + 1e-5) * (1 + (j % 3) / 10) + (j % 5) / 10" if normalised else "z"
+    on = {"relu": "greatest(y, 0)", "leaky": "CASE WHEN y > 0 THEN y ELSE 0.1 * y END", "elu": "CASE WHEN y > 0 THEN y ELSE exp(y) - 1 END"}[activation]
+    return f"(SELECT doc, j AS i, {on} AS v FROM (SELECT doc, j, {y} AS y FROM ({z})))"
+
+
+def _tabular_sql(name):
+    from ..operators.neural import TABULAR
+
+    spec, source = TABULAR[name], "x"
+    for h in spec.hidden:
+        source = _layer(source, h, spec.normalised, spec.activation)
+    return f"SELECT '{name}' AS model, doc, j, z FROM (SELECT doc, j, sum(v * {_WEIGHT}) + j / 100 AS z FROM {source}, range({_CLASS}) r(j) GROUP BY doc, j)"
+
+
+_SCORED = ("DNNSimple", "DNNNarrow", "DNNLeakyReLU", "DNNELU", "DNNDeep", "DNNVeryDeep")
+
+
+@query(f"""WITH x AS (SELECT vec_id AS doc, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), z AS ({' UNION ALL '.join(_tabular_sql(n) for n in _SCORED)}),
+p AS (SELECT *, exp(z - max(z) OVER (PARTITION BY model, doc)) AS e FROM z) SELECT model, CAST(j AS INTEGER) AS class, round(avg(e / s), 6) AS mean_p FROM (SELECT *, sum(e) OVER (PARTITION BY model, doc) AS s FROM p) GROUP BY 1, 2""")
+def tabular_scores(read):
+    """Six named tabular networks rebuilt from stored weights by class name; mean probability of each class over all vectors."""
+    from ..operators import neural
+
+    e, out = read("embeddings"), None
+    for name in _SCORED:
+        spec = neural.TABULAR[name]
+        p = neural.predict(e, "vec_id", "embedding", _DIM, name, _stack((_DIM, *spec.hidden, _CLASS), spec.normalised))
+        part = p.select(F.lit(name).alias("model"), F.posexplode("p").alias("class", "p"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("model", "class").agg(F.round(F.avg("p"), 6).alias("mean_p"))
+
+
 _H = "h AS (SELECT c.c AS config, e.e AS epoch, round(1.0 / (1 + e.e) + ((e.e * 7 + c.c * 3) % 5) * 0.05, 6) AS val_loss FROM range(27) c(c), range(12) e(e))"
 
 
