@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed import STOP_WORDS
-from .text import WS, words
+from .text import WS, sentences_kept, words
 
 
 def _plain_words(c: Column) -> Column:
@@ -32,6 +32,32 @@ def letter_tokens(c: Column) -> Column:
 
 raw_tokens = words
 
+# The public rules of treebank tokenising, in order; ``\\1`` and ``\\2`` are groups.
+TREEBANK = [
+    (r'^"', "``"), (r"(``)", r" \1 "), (r"""([ (\[{<])("|'')""", r"\1 `` "),
+    (r"([:,])([^0-9])", r" \1 \2"), (r"([:,])$", r" \1 "), (r"\.\.\.", " ... "), (r"([;@#$%&])", r" \1 "),
+    (r"""([^.])(\.)([\])}>"']*)\s*$""", r"\1 \2\3 "), (r"([?!])", r" \1 "), (r"([^'])' ", r"\1 ' "),
+    (r"([\]\[(){}<>])", r" \1 "), (r"--", " -- "), (r"''", " '' "), (r'"', " '' "),
+    (r"([^' ])('[sS]|'[mM]|'[dD]|') ", r"\1 \2 "), (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 "),
+    (r"(?i)\b(can)(not)\b", r" \1 \2 "), (r"(?i)\b(d)('ye)\b", r" \1 \2 "), (r"(?i)\b(gim)(me)\b", r" \1 \2 "), (r"(?i)\b(gon)(na)\b", r" \1 \2 "), (r"(?i)\b(got)(ta)\b", r" \1 \2 "),
+    (r"(?i)\b(lem)(me)\b", r" \1 \2 "), (r"(?i)\b(more)('n)\b", r" \1 \2 "), (r"(?i) ('t)(is)\b", r" \1 \2 "), (r"(?i) ('t)(was)\b", r" \1 \2 "), (r"(?i)\b(wan)(na)\b", r" \1 \2 "),
+]
+
+
+def treebank_tokens(c: Column) -> Column:
+    """Treebank tokens of one sentence, as they stand; ends are padded, so that a mark at the end is one at a space."""
+    for pattern, by in TREEBANK:
+        if pattern in ("''",):
+            c = F.concat(F.lit(" "), c, F.lit(" "))
+        c = F.regexp_replace(c, pattern, by.replace("\\1", "$1").replace("\\2", "$2").replace("\\3", "$3"))
+    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
+
+def alphabetic_tokens(c: Column) -> Column:
+    """Lower-case treebank tokens made of letters only, sentence by sentence (cut at white space after ``. ! ?``)."""
+    tokens = F.flatten(F.transform(sentences_kept(c), treebank_tokens))
+    return F.filter(F.transform(tokens, F.lower), lambda w: w.rlike(r"^\p{L}+$"))
+
 
 def default_word_tokens(c: Column) -> Column:
     """Lower-case runs of two word characters on (the public default of TF-IDF vectorizers)."""
@@ -68,4 +94,4 @@ def char_words(c: Column) -> Column:
     return _plain_words(c)
 
 
-__all__ = ["WS", "word_tokens", "sequence_tokens", "letter_tokens", "raw_tokens", "default_word_tokens", "word_ngrams", "char_ngrams_of_word", "char_words"]
+__all__ = ["WS", "word_tokens", "sequence_tokens", "letter_tokens", "raw_tokens", "treebank_tokens", "alphabetic_tokens", "default_word_tokens", "word_ngrams", "char_ngrams_of_word", "char_words"]

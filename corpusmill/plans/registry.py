@@ -1,6 +1,6 @@
 """All core queries by name, and their SQL."""
 
-from . import evaluation, features, tables, text  # noqa: F401
+from . import evaluation, features, files, tables, text  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

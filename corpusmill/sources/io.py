@@ -35,7 +35,7 @@ def read_csv(spark: SparkSession, path, schema: str | T.StructType | None = None
 
     Without a schema all columns are strings.  With ``na`` the text ``NA`` counts as null, as an empty field does.
     """
-    r = spark.read.option("sep", ";").option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
+    r = spark.read.option("sep", ";").option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     df = (r.schema(schema) if schema else r).csv(path)
     df = normalize_columns(df)
     return df.withColumns({f.name: F.nullif(F.col(f.name), F.lit("NA")) for f in df.schema.fields if isinstance(f.dataType, T.StringType)}) if na else df
@@ -64,7 +64,7 @@ def read_all(spark: SparkSession, paths: list[str], required: list[str]) -> Data
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", safe: str | None = None) -> None:
     """``;``-separated with header; ``mode='append'`` adds rows; ``safe`` names a text column to sanitise first."""
     df = df.withColumn(safe, sink_safe(F.col(safe))) if safe else df
-    df.write.mode(mode).option("sep", ";").option("header", True).option("quoteAll", False).option("escape", '"').option("multiLine", True).csv(path)
+    df.write.mode(mode).option("sep", ";").option("header", True).option("quoteAll", False).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -87,10 +87,10 @@ def known_keys(spark: SparkSession, path: str, key: str) -> DataFrame:
     return spark.createDataFrame([], f"`{key}` string")
 
 
-def inventory(spark: SparkSession, path) -> DataFrame:
-    """``(file, n, first_label)`` of the CSV files below a path."""
+def inventory(spark: SparkSession, path, by: str | None = None) -> DataFrame:
+    """``(file, n, first_label)`` of the CSV files below a path, or of its folders ``<by>=...`` as ``(by, n, first_label)``."""
     df = read_csv(spark, path).withColumn("file", F.element_at(F.split(F.input_file_name(), r"[\\/]"), -1)).withColumn("_ord", F.monotonically_increasing_id())
-    return df.groupBy("file").agg(F.count("*").alias("n"), F.min_by("label", "_ord").alias("first_label"))
+    return df.groupBy(by or "file").agg(F.count("*").alias("n"), F.min_by("label", "_ord").alias("first_label"))
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -114,6 +114,11 @@ def write_checkpoint(df: DataFrame, path: str) -> None:
     df.select("id", "model", "label").write.mode("append").parquet(path)
 
 
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_checkpoint`` has written so far."""
+    return spark.read.schema("id string, model string, label string").parquet(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """Nested rows as JSON lines, nulls written out."""
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)

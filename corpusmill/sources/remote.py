@@ -102,6 +102,48 @@ def classify(prompts: DataFrame, client: Client, model: str, done: DataFrame | N
     return ask(todo, client).select("id", F.lit(model).alias("model"), answer_label(F.col("raw")).alias("label"))
 
 
+def collect_until(prompts: DataFrame, client: Client, target: int, accept: Column, sink: str, pace: float = 0.0) -> DataFrame:
+    """``(id, ord, raw)``: accepted answers to the first of ``prompts(id, ord, prompt)`` by ``ord``, until there are ``target``.
+
+    Each round asks as many prompts as are missing, side by side, and appends what ``accept`` (over ``id, ord, raw``) lets through to
+    ``sink``, a new folder; so no more than ``target`` are accepted, and rounds end when they are or when prompts run out.
+    """
+    from ..operators.sampling import global_rank
+
+    spark = prompts.sparkSession
+    ordered = global_rank(prompts.select("id", "ord", "prompt"), [F.col("ord"), F.col("id")], "place").persist()
+    asked, got, left = 0, 0, ordered.count()
+    schema = ordered.select("id", "ord").schema.add("raw", "string")
+    while got < target and asked < left:
+        block = ordered.where((F.col("place") > asked) & (F.col("place") <= asked + target - got))
+        answers = ask(block.select(F.col("id").cast("string").alias("id"), "prompt"), client, pace)
+        done = block.select("id", "ord").join(answers, block["id"].cast("string") == answers["id"]).select(block["id"], "ord", "raw")
+        done.where(accept).write.mode("append").parquet(sink)
+        asked, got = asked + target - got, spark.read.schema(schema).parquet(sink).count()
+    ordered.unpersist()
+    return spark.read.schema(schema).parquet(sink) if asked else spark.createDataFrame([], schema)
+
+
+def pages_before(terms: DataFrame, client: Callable[[str], list[tuple[str, str]]], cutoff: str) -> DataFrame:
+    """``(term, revised_at, html)``: the last revision of each term's page before ``cutoff``; terms without one are left out.
+
+    ``client(term)`` gives ``(time, html)`` of the page's revisions in any order, times as text that sorts by time; a client that fails
+    leaves its term out.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for term in b["term"]:
+                try:
+                    before = [r for r in client(term) if r[0] < cutoff]
+                except Exception:
+                    continue
+                if before:
+                    rows.append((term, *max(before, key=lambda r: r[0])))
+            yield pd.DataFrame(rows, columns=["term", "revised_at", "html"])
+    return terms.select("term").where("term is not null").mapInPandas(run, "term string, revised_at string, html string")
+
+
 class _Paragraphs(HTMLParser):
     """Text of ``<p>`` elements outside dropped elements and classes."""
 
