@@ -83,11 +83,11 @@ def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def pack(keys: np.ndarray, refs: np.ndarray, parts: int, kind: int = 0) -> pa.RecordBatch:
-    """Entries (key uint64, row int64) -> one record a part and row range; rows far apart are kept whole (base null)."""
-    span = (refs.view(np.uint64) - np.uint64(refs.min().view(np.uint64) if len(refs) else 0)) >> np.uint64(16)
-    wide = len(np.unique(span)) > max(1, len(refs) // 64) if len(refs) else False
+    """Entries (key uint64, row int64) -> one record a part and range of 65,536 rows; rows too far apart for that are kept whole (base null)."""
     part = (keys & np.uint64(parts - 1)).astype(np.int64)
-    group = part if wide else part + (span.astype(np.int64) * parts if len(refs) and int(span.max()) < (1 << 40) else 0)
+    span, number = np.unique((refs.view(np.uint64) - refs.min().view(np.uint64)) >> np.uint64(16) if len(refs) else np.zeros(0, np.uint64), return_inverse=True)
+    wide = len(span) > 1 and len(span) * parts > len(refs) // 8
+    group = part if wide else part + number * parts
     order = np.argsort(group, kind="stable")
     group, part = group[order], part[order]
     start = np.flatnonzero(np.append(True, np.diff(group) != 0)) if len(group) else np.zeros(0, dtype=np.int64)
@@ -96,7 +96,7 @@ def pack(keys: np.ndarray, refs: np.ndarray, parts: int, kind: int = 0) -> pa.Re
     if wide:
         base, data = pa.nulls(len(start), pa.int64()), refs[order]
     else:
-        low = refs.min() + (span[order][start].astype(np.int64) << 16) if len(refs) else np.zeros(0, dtype=np.int64)
+        low = (refs.min().view(np.uint64) + (span[number[order][start]] << np.uint64(16))).view(np.int64) if len(refs) else np.zeros(0, dtype=np.int64)
         base = pa.array(low, pa.int64())
         data = (refs[order] - np.repeat(low, ends - start)).astype(np.uint16)
     return pa.record_batch([pa.array(part[start].astype(np.int32)), pa.array(np.full(len(start), kind, dtype=np.int32)), base, _binaries(data, ends), _binaries(rems, ends)], names=["part", "kind", "base", "refs", "rems"])

@@ -15,7 +15,7 @@ from .test_found import frame, naive_leaks, near_rows, pairs
 def test_packed_entries_come_back():
     r = np.random.default_rng(1)
     key = r.integers(0, 2**63, 3000).astype(np.uint64)
-    for ref in (np.repeat(np.arange(-5, 295), 10), r.integers(-2**62, 2**62, 3000), np.repeat([3, 2**40], 1500)):
+    for ref in (np.repeat(np.arange(-5, 295), 10), r.integers(-2**62, 2**62, 3000), np.repeat([3, 2**40], 1500), np.repeat(r.integers(-2**62, 2**62, 10), 300), np.tile(np.array([-2**63, 0, 2**63 - 1]), 1000)):
         b = packed.pack(key, ref.astype(np.int64), 16, 1)
         got = []
         for part in range(16):
@@ -61,6 +61,16 @@ def test_chance_meetings_do_not_grow(spark):
     assert max(a_row) < 7
 
 
+@pytest.mark.parametrize("codes", [4, 9])
+def test_overlap_with_any_width(spark, codes):
+    """Few and many blocks a text find the same pairs."""
+    rows = near_rows(25, 25)
+    tests = [(f"T{i}", t) for i, t in enumerate(rows[::4])]
+    want = {(i, k) for i, t in enumerate(rows) for k, u in tests if t and u and len(set(words(t))) >= 20 and len(set(words(u))) >= 20 and likeness(words(t), words(u)) >= 0.7}
+    train, test = frame(spark, [(i, t, None, None) for i, t in enumerate(rows)]), spark.createDataFrame(tests, "id string, text string")
+    assert pairs(overlap.overlapping_pairs(train, test, codes=codes), "row_id", "test_id") == want
+
+
 def test_overlap_of_crowded_blocks(spark):
     """A third of the rows share their blocks; the crowded ones come through the lists."""
     rows = near_rows(23, 20)
@@ -100,6 +110,19 @@ def test_leaks_of_any_length(spark, monkeypatch, n, local):
         assert not any(tuple(w[i:i + x.match_words + 1]) in longer for i in range(len(w) - x.match_words))
 
 
+def test_copies_behind_a_long_prefix(spark):
+    """Records that share thousands of bytes are split on until they end."""
+    from corpusmill.llm import copies
+
+    rows = [(i, None, "á" * 5000 + f" end{i % 9}" + "z" * (i % 3)) for i in range(54)] + [(100 + i, None, "b" * 700) for i in range(20)]
+    by = {}
+    for i, _, t in rows:
+        by.setdefault(t, []).append(i)
+    want = {(min(v), i) for v in by.values() for i in v}
+    df = spark.createDataFrame(rows, "row_id bigint, termo string, text string").repartition(4)
+    assert pairs(copies.copy_sets(df, bucket_rows=2), "first_row_id", "row_id") == want
+
+
 def test_hot_code_is_spread(spark):
     """One key on a third of the rows: no task of the salted join gets more than a few times the bound."""
     from corpusmill.operators.skew import salted_join
