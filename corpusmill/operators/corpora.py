@@ -131,7 +131,7 @@ def rank_combinations(rows: DataFrame, tests: DataFrame, combos: list[tuple[str,
     first = rows.join(F.broadcast(listed), "source", "left_semi").withColumn("_place", F.row_number().over(Window.partitionBy("source").orderBy(order))).where(F.col("_place") <= rows_a_source)
     used = first.select("source", y, tokens.alias("t"), "_place").where("y >= 0 and t is not null")
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["source", "_place"])
         counts = _counted(pdf["t"])
         tf: dict[str, int] = {}
