@@ -7,7 +7,7 @@ the texts' words.  Verified links are closed to groups by distributed connected
 
 The registers of a band grow with the logarithm of the rows, so that a row meets a bounded number of unrelated ones
 however many there are, and the number of bands with them, so that a pair at the threshold shares no band with a
-chance of 1e-3 (5e-6 at a likeness of 0.75 where it is 0.7); it falls outside ``RADIUS`` with 1e-6, and below the
+chance of 1e-3 (at most 7e-5 at a likeness of 0.75, 2e-6 at 0.8, where it is 0.7); it falls outside ``RADIUS`` with 1e-6, and below the
 estimate's margin (six standard errors) with 1e-9.  Entries travel packed, six bytes each (``packed``); nothing is broadcast.
 
 Skew.  Copies of a word set carry a sketch once per task; the rest are linked by their code in a salted join.  In a

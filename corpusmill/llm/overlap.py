@@ -7,7 +7,7 @@ differ in at most ``RADIUS`` places, and then the likeness of the texts themselv
 
 The codes of a block grow with the logarithm of the evaluation texts' number, so that a training row meets a bounded
 number of unrelated ones however large the tables are, and the number of blocks with them, so that a pair at the
-threshold is missed with a chance of 1e-3 (5e-6 at a likeness of 0.75 where it is 0.7); it lies beyond the radius
+threshold is missed with a chance of 1e-3 (at most 7e-5 at a likeness of 0.75, 2e-6 at 0.8, where it is 0.7); it lies beyond the radius
 with 1e-6.  All blocks of all rows take part, as packed entries of six bytes (``packed``); nothing is broadcast.
 
 Copies of a word set take part once per task and are put back at the end by a salted join.  A block code that more than
